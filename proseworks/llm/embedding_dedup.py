@@ -1,7 +1,7 @@
 """Links between near-equal embeddings by an inverted multi-index.
 
 Vectors are cut into halves; each half has its own codebook (k-means over a bounded sample of
-``SAMPLE`` vectors, the ones with the smallest hash of their id), and the pairs of codewords form
+about ``SAMPLE`` vectors, chosen by a hash of their id), and the pairs of codewords form
 a grid of cells. Every vector is indexed in the cell of its two nearest codewords.
 
 Every vector is also a query. It visits cells in the order of a lower bound on the distance to any
@@ -121,7 +121,8 @@ def links(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", vect
     n, labels = items.agg(F.count("*"), F.countDistinct("label")).first()
     if not n:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    sample = [np.frombuffer(r[0], kind).astype(np.float64) for r in items.orderBy(F.xxhash64("item"), "name").select("vector").limit(SAMPLE).collect()]
+    sample = [np.frombuffer(r[0], kind).astype(np.float64) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(1 << 31)) < int(min(1.0, SAMPLE / n) * (1 << 31))).orderBy("name").select("vector").collect()]
+    sample = sample or [np.frombuffer(items.select("vector").first()[0], kind).astype(np.float64)]
     dim = max(len(x) for x in sample)
     padded = np.concatenate([np.concatenate(_halves(x[None], dim), axis=1) for x in sample])
     k = int(np.clip(np.sqrt(n / (CELL * labels)), 1, 1024))

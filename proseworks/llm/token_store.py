@@ -9,15 +9,13 @@ A file holds the documents of one range of ids, in ascending order of doc_id:
 
 A frame is the document's ids as little-endian unsigned 32-bit integers, compressed with the
 shared dictionary, so any short document is read by one seek and one small decompression. The
-dictionary is trained on the id arrays of a bounded sample (the ``sample`` rows with the
-smallest hash of doc_id, at most ``SAMPLE_CHARS`` characters each) and stored beside the files as ``<sha256>.dict``; it affects only
+dictionary is trained on the id arrays of a bounded sample (about ``sample`` rows,
+chosen by a hash of doc_id, at most ``SAMPLE_CHARS`` characters each) and stored beside the files as ``<sha256>.dict``; it affects only
 their size. Writing a file is atomic (a name of its own, then a rename), so a task that is run
 again after an executor is lost leaves one good file named in the manifest.
 
-Ids come from a public tokenizer file. White space separates its words and leaves no ids, so
-pieces between white space are encoded once and remembered (at most ``CACHE`` of them a task).
-Texts with a control character that Python and the tokenizer's pattern class differently are
-encoded whole.
+Ids come from a public tokenizer file. Its words never cross certain places in a text, so the units
+between these are encoded once and remembered (at most ``CACHE`` of them a worker).
 
 Defined cases: a null or empty text has only the end id; rows with a null doc_id are stored first with
 the least long; repeated ids are all stored; no rows give no files.
@@ -25,8 +23,8 @@ the least long; repeated ids are all stored; no rows give no files.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,46 +36,133 @@ import zstandard
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from proseworks.llm import textvec
 from proseworks.llm.common import shared_dir, stored
 from proseworks.session import ship
 
 MAGIC = b"PWTK0001"
-CACHE = 400_000
+CACHE = 3_000_000
 SAMPLE_CHARS = 20_000
 DICT_BYTES = 65_536
 _NULL_ID = -(1 << 63)
-#: Characters that Python's str.split takes for white space and the tokenizer's pattern may not, or the reverse.
-_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
+#: Classes of bytes: 0 white space, 1 letters, 2 digits, 3 other ASCII, 4 apostrophe, 5 beyond ASCII.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58], _KIND[39], _KIND[128:] = 2, 4, 5
+_KIND[[32, *range(9, 14)]] = 0
 _INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("ids", "<u4")])
 
 
 class Encoder:
-    """Ids of whole texts as bytes, with the end id; remembers pieces between white space."""
+    """Ids of whole texts, with the end id; each distinct unit of a text is encoded once and remembered.
+
+    Units are runs between white space, cut further where an ASCII letter, digit or other sign
+    meets one of another of these classes (not at apostrophes, and not beside characters beyond ASCII, which may
+    combine): the tokenizer always ends a word there. Known units are a sorted array of hashes and a flat array of
+    ids, about 30 bytes a unit.
+    """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
-        if _ODD.search(text):
-            return self._whole([text])[0] + self.end
-        pieces = text.split()
-        known = self.known
-        new = list({p for p in pieces if p not in known})
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, self._whole(new)))
-        return b"".join([*map(known.__getitem__, pieces), self.end])
+        self.end = np.array([end_id], "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words of letters only, many at a time with a space between: each is one word of the tokenizer."""
+        out: list[np.ndarray] = []
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            at = np.array(found.word_ids, np.int64)
+            if len(at) and at[-1] == len(some) - 1 and (np.diff(at, prepend=0) <= 1).all():
+                out += np.split(np.array(found.ids, "<u4"), np.searchsorted(at, np.arange(1, len(some))))
+            else:
+                out += self._whole(some)
+        return out
+
+    def _learn(self, keys: np.ndarray, units: list[str]) -> None:
+        if len(self.keys) + len(keys) > CACHE:
+            raise OverflowError
+        plain = np.array([u.isalpha() and u.lower().isalpha() for u in units], bool)
+        found: list[np.ndarray | None] = [None] * len(units)
+        for which, encode in ((plain, self._letters), (~plain, self._whole)):
+            at = np.flatnonzero(which)
+            for k, ids in zip(at, encode([units[k] for k in at]) if len(at) else ()):
+                found[k] = ids
+        size = np.array([len(x) for x in found], np.int64)
+        flat = np.concatenate(found)
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(flat)), "<u4")])
+        start = self.used + np.cumsum(size) - size
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.size = (np.insert(old, place, new) for old, new in ((self.keys, keys), (self.start, start), (self.size, size)))
+
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        rows = len(offsets) - 1
+        first, end, row = _units(data, offsets)
+        keys, example, inverse = np.unique(textvec.hashes(data, first, end), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[place] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            text = textvec.LOWER[data].tobytes()
+            pairs = zip(first[example[new]].tolist(), end[example[new]].tolist())
+            try:
+                self._learn(keys[new], [text[a:b].decode() for a, b in pairs])
+            except OverflowError:
+                self._forget()
+                self._learn(keys, [text[a:b].decode() for a, b in zip(first[example].tolist(), end[example].tolist())])
+            place = np.searchsorted(self.keys, keys)
+        size, begin = self.size[place][inverse], self.start[place][inverse]
+        after = np.cumsum(size)
+        ids = self.ids[np.repeat(begin - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
+        cuts = np.concatenate([[0], after])[np.searchsorted(row, np.arange(rows + 1))]
+        return [np.concatenate([ids[a:b], self.end]) for a, b in zip(cuts, cuts[1:])]
+
+    def many(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column, in order; nulls are empty."""
+        for i, j, data, offsets in textvec.chunks(column):
+            out = self._chunk(data, offsets)
+            raw = data.tobytes()
+            if b"<|" in raw:  # marks that the tokenizer may take for special tokens: such texts are encoded whole
+                for r in range(j - i):
+                    text = raw[offsets[r] : offsets[r + 1]]
+                    if b"<|" in text:
+                        out[r] = np.concatenate([self._whole([text.decode()])[0], self.end])
+            yield from out
+
+
+def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data)
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    kind = _KIND[data]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    cut = edge[1:n] | (kind[1:] == 0) | (kind[:-1] == 0) | ((kind[1:] != kind[:-1]) & (kind[1:] <= 3) & (kind[:-1] <= 3))
+    inside = kind > 0
+    first = inside.copy()
+    first[1:] &= cut
+    last = inside.copy()
+    last[:-1] &= cut
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One encoder a process, so that a worker's later tasks know the units of the earlier ones."""
+    return Encoder(path, end_id)
 
 
 def _filesystem(folder: str) -> tuple[pa.fs.FileSystem, str]:
@@ -86,12 +171,11 @@ def _filesystem(folder: str) -> tuple[pa.fs.FileSystem, str]:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, text: str, key: str, sample: int) -> bytes:
     """A zstandard dictionary from the id arrays of a bounded sample; empty if there is too little to learn from."""
-    rows = (
-        docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.col(key)).alias("h"))
-        .orderBy("h", "text").limit(sample).collect()
-    )
-    encode = Encoder(tokenizer, end_id)
-    arrays = [x for x in (encode(r["text"]) for r in rows) if len(x) >= 64]
+    share = min(1.0, sample / max(docs.count(), 1))
+    lot = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 31)) < int(share * (1 << 31))
+    rows = docs.where(lot).select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("text")).collect()
+    encode = encoder(tokenizer, end_id)
+    arrays = [x.tobytes() for x in encode.many(pa.array(sorted(r["text"] or "" for r in rows), pa.large_string())) if len(x) >= 16]
     if sum(map(len, arrays)) < 16 * DICT_BYTES // 4:
         return b""
     try:
@@ -123,21 +207,19 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         from pyspark import TaskContext
 
         fs, root = _filesystem(folder)
-        encode = compressor = out = None
+        compressor = out = None
         index, at, total = [], len(MAGIC) + 32, 0
         final = f"{root}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"
         for batch in batches:
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer, end_id).many(batch.column(1))):
                 if out is None:
-                    encode = Encoder(tokenizer, end_id)
-                    compressor = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+                    compressor = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
                     out = fs.open_output_stream(f"{final}.tmp")
                     out.write(MAGIC + bytes.fromhex(name))
-                ids = encode(body.as_py())
-                frame = compressor.compress(ids)
+                frame = compressor.compress(ids.tobytes())
                 out.write(frame)
-                index.append((doc_id, at, len(ids) // 4))
-                at, total = at + len(frame), total + len(ids) // 4
+                index.append((doc_id, at, len(ids)))
+                at, total = at + len(frame), total + len(ids)
         if out is not None:
             table = np.array(index, _INDEX)
             out.write(table.tobytes() + np.array([len(index), at], "<u8").tobytes())
