@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proseworks.session import ship
+
 #: Id lists up to this many rows (8 bytes each, 32 MB) may be broadcast after they have been counted.
 BROADCAST_IDS = 4_000_000
 
@@ -58,21 +61,43 @@ def with_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return df.join(ids, key, "left_semi")
 
 
+def _forest(batches):
+    """Edges of one partition as stars around the smallest node of each of its components."""
+    over: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while over.setdefault(x, x) != x:
+            over[x] = over[over[x]]
+            x = over[x]
+        return x
+
+    for batch in batches:
+        for x, y in zip(*(c.to_pylist() for c in batch.columns)):
+            p, q = root(x), root(y)
+            over[max(p, q)] = min(p, q)
+    nodes = list(over)
+    for i in range(0, len(nodes), 100_000):
+        some = nodes[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], ["hi", "lo"])
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges`` (a, b) as rows (node, component); the smallest node names it.
 
-    Alternates the two star contractions of the published MapReduce algorithm: each round hangs
+    Each partition first contracts its own edges. Then alternates the two star contractions of the published MapReduce algorithm: each round hangs
     every larger neighbour, then every smaller one, on the smallest node in sight. Rounds grow
     with the logarithm of the longest path. Nothing but two numbers a round reaches the driver;
     a node with very many neighbours costs a skewed equi-join, which adaptive execution splits.
     Nodes that appear only in loops (a = b) or not at all are not returned.
     """
+    ship(edges.sparkSession)
+    edges = edges.toDF("a", "b")
     links = (
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
     )
-    links, before = stored(links, "links"), None
+    links, before = stored(links.mapInArrow(_forest, "hi long, lo long").where("hi <> lo"), "links"), None
     for _ in range(max_rounds):
         both = links.union(links.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

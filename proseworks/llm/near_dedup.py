@@ -4,14 +4,15 @@
    tokens of that set. Texts with equal sets are one item from here on.
 2. Independent trees: the root of each branches every item by one chosen minwise token. Items
    that share a node are compared: all pairs of small nodes, by their minwise tokens; members of
-   large nodes with the node's smallest item only. A large node whose members are not all in one
-   group yet branches again by a token chosen from the node's path (sometimes two, 1.25 on average, so that a
-   pair of similarity 0.8 meets once a level on average). What is still large after
-   ``DEPTH`` levels is compared exhaustively, block against block.
+   large nodes first with one member chosen at random by the node, which joins most of a dense
+   node. If at most ``OUTSIDE`` of a large node is then still outside its largest group, that part is
+   compared with all of the node; otherwise the node branches again by a token
+   chosen from its path (sometimes two, 1.25 on average, so that a pair of similarity 0.8
+   meets once a level on average), at most ``DEPTH`` times, and is then compared in blocks whatever its shape.
 3. Pairs whose estimated similarity is within four standard errors of the threshold are
-   confirmed on full sets, each set being sent once to the task that holds its cluster of
-   candidates (several tasks where a cluster is large). Inside a task, pairs that are already connected
-   are not compared again. Confirmed links give the groups, by distributed star contraction.
+   confirmed on full sets, which are sent to the task of one node that a pair shares (of all such
+   nodes the one with the smallest hash, so that the pairs of a group mostly meet in one task). Inside a task, pairs that
+   are already connected are not compared again. Confirmed links give the groups, by distributed star contraction.
 
 A pair of similarity s is missed only if none of the ``TREES`` independent first tokens agrees:
 (1 - s) ** TREES, below 1e-8 at 0.8. Nodes, candidates and groups have no cap.
@@ -36,11 +37,13 @@ from proseworks.session import ship
 
 HASHES = 128
 TREES = 12
-DEPTH = 6
+DEPTH = 4
 #: Nodes up to this size are compared exhaustively at once.
 SMALL = 48
-#: Items of one cluster that are confirmed in one task; larger clusters are cut into blocks.
-BLOCK = 512
+#: Items of one large node that meet in one task.
+BLOCK = 1024
+#: The part of a large node that may be outside its largest group when the node is compared at once.
+OUTSIDE = 0.7
 _rng = np.random.default_rng(5)
 _A = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -90,32 +93,108 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _pairs_in_nodes(nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) inside each ``node`` that differ in component and agree in enough tokens.
+    """Pairs (a, b) inside each small ``node`` that differ in component and agree in enough tokens.
 
-    ``nodes``: node, side, item, component, tokens; sides 0 and 1 are compared with each other where
-    both occur, otherwise all members among themselves. Nodes hold a bounded number of rows.
+    ``nodes``: node, item, component, tokens. The node is the task in which a pair is confirmed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in textvec.groups(batches, "node"):
-            item, comp, side = (table.column(c).to_numpy() for c in ("item", "component", "side"))
+            item, comp = (table.column(c).to_numpy() for c in ("item", "component"))
             if (comp == comp[0]).all():
                 continue
             t = _matrix(table.column("tokens"))
-            left = np.flatnonzero(side == 0) if (side == 1).any() else np.arange(len(item))
-            right = np.flatnonzero(side == 1) if (side == 1).any() else left
             found = []
-            for i in left:
-                j = right[(comp[right] != comp[i]) & (item[right] > item[i] if right is left else item[right] != item[i])]
+            for i in range(len(item)):
+                j = np.flatnonzero((comp != comp[i]) & (item > item[i]))
                 if len(j):
                     same = (t[j] == t[i]).sum(axis=1)
-                    j, same = j[same >= least * HASHES], same[same >= least * HASHES]
-                    found += [(min(item[i], item[k]), max(item[i], item[k]), int(s)) for k, s in zip(j, same)]
+                    keep = same >= least * HASHES
+                    j, same = j[keep], same[keep]
+                    found += [(item[i], item[k], int(s)) for k, s in zip(j, same)]
             if found:
                 a, b, s = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int32())], ["a", "b", "same"])
+                task = table.column("node").slice(0, 1).to_pylist() * len(a)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int32()), pa.array(task, pa.int64())], ["a", "b", "same", "task"])
+
+    return nodes.repartition("node").sortWithinPartitions("node").select("node", "item", "component", "tokens").mapInArrow(run, "a long, b long, same int, task long")
+
+
+def _rest_in_blocks(large: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Large nodes cut into blocks: what is outside a node's largest component (side 0) against all of it (side 1)."""
+    counts = large.groupBy("node", "component").count().groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("inside"))
+    cut = large.select("node", "item", "component").join(counts.where("all > inside"), "node").select(
+        "node", "item", "component", (F.col("component") != F.col("most")).alias("outside"),
+        F.ceil((F.col("all") - F.col("inside")) / BLOCK).cast("int").alias("left_blocks"), F.ceil(F.col("all") / BLOCK).cast("int").alias("right_blocks"),
+    )
+    own = lambda blocks: F.pmod(F.xxhash64("item"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    left = cut.where("outside").withColumn("l", own("left_blocks")).withColumn("r", every("right_blocks")).withColumn("side", F.lit(0))
+    right = cut.withColumn("r", own("right_blocks")).withColumn("l", every("left_blocks")).withColumn("side", F.lit(1))
+    both = left.select("node", "l", "r", "side", "item", "component").union(right.select("node", "l", "r", "side", "item", "component"))
+    return both.select(F.xxhash64("node", "l", "r").alias("node"), "side", "item", "component").join(tokens, "item")
+
+
+def _involved(nodes: DataFrame, least: float) -> DataFrame:
+    """(node, side, item, component) of the members of ``nodes`` that agree in enough tokens with one of another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in textvec.groups(batches, "node"):
+            item, comp, side = (table.column(c).to_numpy() for c in ("item", "component", "side"))
+            if (comp == comp[0]).all():
+                continue
+            t = _matrix(table.column("tokens"))
+            take, right = np.zeros(len(item), bool), np.flatnonzero(side == 1)
+            for i in np.flatnonzero(side == 0):
+                j = right[comp[right] != comp[i]]
+                j = j[(t[j] == t[i]).sum(axis=1) >= least * HASHES]
+                take[j] = True
+                take[i] |= len(j) > 0
+            if take.any():
+                yield from table.select(["node", "side", "item", "component"]).filter(pa.array(take)).combine_chunks().to_batches()
 
-    return nodes.repartition("node").sortWithinPartitions("node").select("node", "side", "item", "component", "tokens").mapInArrow(run, "a long, b long, same int")
+    ordered = nodes.repartition("node").sortWithinPartitions("node").select("node", "side", "item", "component", "tokens")
+    return ordered.mapInArrow(run, "node long, side int, item long, component long")
+
+
+def _full_sets(docs: DataFrame, items: DataFrame, size: int, text: str, key: str) -> DataFrame:
+    """(item, items): the shingle sets of the documents whose ids are in ``items`` (stored, one column named ``key``)."""
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, data = [], []
+            for r, s in _sets(batch.column(1), size):
+                rows.append(r)
+                data.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(data, pa.binary())], ["item", "items"])
+
+    return with_ids(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")), key, items).mapInArrow(full, "item long, items binary")
+
+
+def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough, by their full sizes."""
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes of the intersections of left with right sets, sizes of all sets), exactly, by products of incidence matrices."""
+    total = np.array([len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), total)
+    often = count[column] > 1
+    row, column = row[often], (np.cumsum(count > 1) - 1)[column[often]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [at, at + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        both += part[left] @ part[right].T
+    return both.astype(np.int64), total
 
 
 def _agreeing(pairs: DataFrame, least: float) -> DataFrame:
@@ -127,9 +206,9 @@ def _agreeing(pairs: DataFrame, least: float) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in (2, 3))
                 same = (x == y).sum(axis=1)
                 keep = same >= least * HASHES
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(keep)) for c in (0, 1)), pa.array(same[keep], pa.int32())], ["a", "b", "same"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(keep)) for c in (0, 1)), pa.array(same[keep], pa.int32()), batch.column(4).filter(pa.array(keep))], ["a", "b", "same", "task"])
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, same int")
+    return pairs.select("a", "b", "x", "y", "task").mapInArrow(run, "a long, b long, same int, task long")
 
 
 def _branch(members: DataFrame, first: bool) -> DataFrame:
@@ -148,31 +227,14 @@ def _branch(members: DataFrame, first: bool) -> DataFrame:
     return members.select(F.explode(F.when(twice & (pick != more), F.array(child(pick), child(more))).otherwise(F.array(child(pick)))).alias("node"), "item")
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
-    """Links (a, b) among candidate ``pairs`` (a, b, same), confirmed on the full shingle sets."""
-    clusters = stored(components(pairs), "near-clusters")
-    sizes = clusters.groupBy("component").count()
-    placed = stored(
-        clusters.join(sizes, "component").select(
-            "node", "component", F.when(F.col("count") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / BLOCK))).cast("int").alias("block")
-        ),
-        "near-blocks",
-    )
-    ends = [placed.select(F.col("node").alias(c), F.col("block").alias(f"{c}_block"), *(["component"] if c == "a" else [])) for c in "ab"]
-    task = F.xxhash64("component", F.least("a_block", "b_block"), F.greatest("a_block", "b_block"))
-    tasks = stored(pairs.join(ends[0], "a").join(ends[1], "b").select(task.alias("task"), "a", "b", "same"), "near-tasks")
-    wanted = tasks.select("task", F.explode(F.array("a", "b")).alias("item")).distinct()
-    items = stored(placed.select(F.col("node").alias(key)).distinct(), "near-items")
+def _confirm(docs: DataFrame, tasks: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
+    """Links (a, b) among candidate ``tasks`` (a, b, same, task), confirmed on the full shingle sets.
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, data = [], []
-            for r, s in _sets(batch.column(1), size):
-                rows.append(r)
-                data.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(data, pa.binary())], ["item", "items"])
-
-    own = with_ids(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")), key, items).mapInArrow(full, "item long, items binary")
+    The members of a task come from one node or one block of a large node, so their number is bounded.
+    """
+    wanted = stored(tasks.select("task", F.explode(F.array("a", "b")).alias("item")).distinct(), "near-wanted")
+    items = stored(wanted.select(F.col("item").alias(key)).distinct(), "near-items")
+    own = _full_sets(docs, items, size, text, key)
     none = lambda kind: F.lit(None).cast(kind)
     sent = wanted.join(own, "item").select("task", F.lit(0).alias("kind"), F.col("item").alias("a"), none("long").alias("b"), F.lit(0).alias("same"), "items")
     rows = sent.union(tasks.select("task", F.lit(1), "a", "b", F.col("same"), none("binary")))
@@ -196,11 +258,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text: s
                 x, y = int(a[i]), b[i]
                 if x not in sets or y not in sets or (p := root(x)) == (q := root(y)):
                     continue
-                s, t = sets[x], sets[y]
-                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                    continue
-                both = len(s) + len(t) - len(np.union1d(s, t))
-                if 100 * both >= percent * (len(s) + len(t) - both):
+                if _similar(sets[x], sets[y], percent):
                     over[max(p, q)] = min(p, q)
                     links.append((x, y))
             if links:
@@ -210,6 +268,60 @@ def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text: s
     return spread.mapInArrow(check, "a long, b long")
 
 
+class _Groups:
+    """The groups that the links confirmed so far make."""
+
+    def __init__(self, docs: DataFrame, size: int, percent: int, text: str, key: str):
+        self.given = docs, size, percent, text, key
+        self.group = None
+
+    def named(self, members: DataFrame) -> DataFrame:
+        """``members`` (with a column item) and the component of each."""
+        if self.group is None:
+            return members.withColumn("component", F.col("item"))
+        return members.join(self.group, F.col("item") == F.col("node_item"), "left").select(*members.columns, F.coalesce("component", "item").alias("component"))
+
+    def confirm(self, found: DataFrame) -> None:
+        """Confirm the candidates ``found`` (a, b, same, task)."""
+        pairs = stored(found.groupBy("a", "b").agg(F.max("same").alias("same"), F.min("task").alias("task")), "near-pairs")
+        if pairs.isEmpty():
+            return
+        docs, size, percent, text, key = self.given
+        self._add(_confirm(docs, pairs, size, percent, text, key))
+
+    def confirm_inside(self, nodes: DataFrame) -> None:
+        """Links between the two sides of ``nodes``, found on full sets in the node's own task.
+
+        A task returns at most one link of an item with each other component, so a dense node does not
+        become a list of its pairs.
+        """
+        nodes = stored(nodes, "near-involved")
+        if nodes.isEmpty():
+            return
+        docs, size, percent, text, key = self.given
+        sets = _full_sets(docs, stored(nodes.select(F.col("item").alias(key)).distinct(), "near-items"), size, text, key)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in textvec.groups(batches, "node"):
+                item, comp, side = (table.column(c).to_numpy() for c in ("item", "component", "side"))
+                left, right, out = np.flatnonzero(side == 0), np.flatnonzero(side == 1), []
+                both, total = _shared([np.frombuffer(b, np.uint64) for b in table.column("items").to_pylist()], left, right)
+                linked = (100 * both >= percent * (total[left][:, None] + total[right] - both)) & (comp[left][:, None] != comp[right])
+                for i in np.flatnonzero(linked.any(axis=1)):
+                    j = right[linked[i]]
+                    out += [(item[left[i]], item[k]) for k in j[np.unique(comp[j], return_index=True)[1]]]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+        rows = nodes.join(sets, "item").repartition("node").sortWithinPartitions("node").select("node", "side", "item", "component", "items")
+        self._add(rows.mapInArrow(run, "a long, b long"))
+
+    def _add(self, links: DataFrame) -> None:
+        if self.group is not None:
+            links = links.union(self.group)
+        self.group = stored(components(links).select(F.col("node").alias("node_item"), "component"), "near-groups")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included) and kept (doc_id = component_id).
 
@@ -223,54 +335,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
         "near-sets",
     )
     tokens = items.select("item", "tokens")
-    group = None  # item, component; items that are missing are their own
-    links = None
+    state = _Groups(docs, size, percent, text, key)
     members = _branch(tokens, True)
-    for level in range(DEPTH):
-        sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("item").alias("least")).where("n > 1")
-        live = members.join(sizes, "node")
-        if group is None:
-            live = live.withColumn("component", F.col("item"))
-        else:
-            live = live.join(group, live["item"] == group["node_item"], "left").select("node", "item", "n", "least", F.coalesce("component", "item").alias("component"))
-        live = stored(live, "near-nodes")
-        small = live.where(F.col("n") <= SMALL).join(tokens, "item").withColumn("side", F.lit(0))
+    for level in range(DEPTH + 1):
+        # The member that a large node's others are compared with: chosen by the node, so that trees choose different ones.
+        sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min_by("item", F.xxhash64("node", "item")).alias("center")).where("n > 1")
+        live = stored(state.named(members.join(sizes, "node")), "near-nodes")
+        small = live.where(F.col("n") <= SMALL).join(tokens, "item")
         large = live.where(F.col("n") > SMALL)
-        center = large.where("item = least").select("node", "item", F.col("component").alias("center_component")).join(tokens, "item").select("node", F.col("tokens").alias("y"), "center_component")
+        center = large.where("item = center").select("node", "item", F.col("component").alias("center_component")).join(tokens, "item").select("node", F.col("tokens").alias("y"), "center_component")
         star = (
-            large.where("item <> least").join(center, "node").where("component <> center_component")
-            .join(tokens, "item").select(F.col("least").alias("a"), F.col("item").alias("b"), F.col("tokens").alias("x"), "y")
+            large.where("item <> center").join(center, "node").where("component <> center_component").join(tokens, "item")
+            .select(F.least("center", "item").alias("a"), F.greatest("center", "item").alias("b"), F.col("tokens").alias("x"), "y", F.xxhash64("node", F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / BLOCK))).alias("task"))
         )
-        pairs = _pairs_in_nodes(small, least).union(_agreeing(star, least)).groupBy("a", "b").agg(F.max("same").alias("same"))
-        pairs = stored(pairs, "near-pairs")
-        if not pairs.isEmpty():
-            found = _confirm(docs, pairs, size, percent, text, key)
-            links = stored(found if links is None else links.union(found), "near-links")
-            group = stored(components(links).select(F.col("node").alias("node_item"), "component"), "near-groups")
-        if large.isEmpty():
+        state.confirm(_pairs_in_nodes(small, least).union(_agreeing(star, least)))
+        now = state.named(large.select("node", "item"))
+        counts = now.groupBy("node", "component").count().groupBy("node").agg(F.sum("count").alias("all"), F.max("count").alias("inside")).where("all > inside")
+        open_ = stored(now.join(counts, "node"), "near-open")
+        if open_.isEmpty():
             break
-        now = large.select("node", "item")
-        if group is not None:
-            now = now.join(group, now["item"] == group["node_item"], "left").select("node", "item", F.coalesce("component", "item").alias("component"))
-        else:
-            now = now.withColumn("component", F.col("item"))
-        mixed = now.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
-        left = stored(now.join(mixed, "node").join(tokens, "item").select("node", "item", "component", "tokens"), "near-left")
+        sparse = F.col("all") - F.col("inside") > F.col("all") * (OUTSIDE if level < DEPTH else 1.0)
+        dense = open_.where(~sparse).select("node", "item")
+        if not dense.isEmpty():
+            state.confirm_inside(_involved(_rest_in_blocks(state.named(dense), tokens), least))
+        left = open_.where(sparse)
         if left.isEmpty():
             break
-        members = _branch(left, False)
-    else:  # large nodes that no branching has split: block against block
-        sizes = left.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        cut = left.join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-        spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"),
-            F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "item", "component", "tokens",
-        )
-        pairs = stored(_pairs_in_nodes(spread, least).groupBy("a", "b").agg(F.max("same").alias("same")), "near-pairs")
-        if not pairs.isEmpty():
-            found = _confirm(docs, pairs, size, percent, text, key)
-            links = stored(found if links is None else links.union(found), "near-links")
-            group = stored(components(links).select(F.col("node").alias("node_item"), "component"), "near-groups")
+        members = _branch(left.select("node", "item").join(tokens, "item"), False)
+    group = state.group
     named = items.select("set_hash", "item")
     if group is not None:
         named = named.join(group, named["item"] == group["node_item"], "left").select("set_hash", F.coalesce("component", "item").alias("component"))
