@@ -13,6 +13,8 @@ from proseworks.session import ship
 
 #: Id lists up to this many rows (8 bytes each, 32 MB) may be broadcast after they have been counted.
 BROADCAST_IDS = 4_000_000
+#: Edges that one task contracts at once.
+EDGES = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,20 +86,20 @@ def _forest(batches):
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges`` (a, b) as rows (node, component); the smallest node names it.
 
-    Each partition first contracts its own edges. Then alternates the two star contractions of the published MapReduce algorithm: each round hangs
+    Partitions of at most about ``EDGES`` edges first contract their own. Then alternates the two star contractions of the published MapReduce algorithm: each round hangs
     every larger neighbour, then every smaller one, on the smallest node in sight. Rounds grow
     with the logarithm of the longest path. Nothing but two numbers a round reaches the driver;
     a node with very many neighbours costs a skewed equi-join, which adaptive execution splits.
     Nodes that appear only in loops (a = b) or not at all are not returned.
     """
     ship(edges.sparkSession)
-    edges = edges.toDF("a", "b")
-    links = (
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        .distinct()
-    )
-    links, before = stored(links.mapInArrow(_forest, "hi long, lo long").where("hi <> lo"), "links"), None
+    edges = edges.toDF("a", "b").where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    edges = stored(edges, "edges")
+    parts = max(1, -(-edges.count() // EDGES))
+    links = stored(edges.coalesce(parts).mapInArrow(_forest, "hi long, lo long"), "links")
+    if parts == 1:  # one partition held all edges, so its stars are the components
+        return links.toDF("node", "component")
+    links, before = links.where("hi <> lo"), None
     for _ in range(max_rounds):
         both = links.union(links.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

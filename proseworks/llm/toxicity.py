@@ -59,18 +59,18 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _telling(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> set[bytes]:
+def _telling(toxic: list[set[bytes]], ordinary: list[set[bytes]], common: set[bytes]) -> set[bytes]:
     """Words of toxic texts that recur there, whole or by a beginning that ordinary texts hardly have."""
     stems = lambda words: {w[:n] for w in words for n in range(STEM, len(w) + 1)}
-    groups: dict[bytes, set[int]] = {}
-    for words in toxic:  # copies share their smallest hash and count once
-        own = min((zlib.crc32(w) for w in words), default=0)
-        for x in stems(words):
+    groups: dict[bytes, set[tuple[int, ...]]] = {}
+    for words in toxic:  # copies mostly share their smallest hashes and count once
+        own = tuple(heapq.nsmallest(4, map(zlib.crc32, words)))
+        for x in stems(words - common):
             groups.setdefault(x, set()).add(own)
     seen = {x: len(g) for x, g in groups.items() if len(g) >= RECUR}
     usual = Counter(x for words in ordinary for x in stems(words) & seen.keys())
     strong = {x for x, n in seen.items() if n / len(toxic) >= LIFT * (usual[x] + 0.5) / len(ordinary)}
-    return {w for words in toxic for w in words if any(w[:n] in strong for n in range(STEM, len(w) + 1))}
+    return {w for words in toxic for w in words - common if any(w[:n] in strong for n in range(STEM, len(w) + 1))}
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -142,7 +142,7 @@ def train(sample: list[tuple[str, int]], counts: dict[int, int]) -> Model:
         return model
     first = [(set(_words(t)), label) for t, label in halves[0]]
     common = set().union(*(w for w, label in first if not label))
-    telling = _telling([w - common for w, label in first if label], [w for w, label in first if not label])
+    telling = _telling([w for w, label in first if label], [w for w, label in first if not label], common)
     joined = lambda words: b"  ".join([b"", *sorted(words), b""])
     model.ordinary = _dictionary([joined(w) for w, label in first if not label], ORDINARY_BYTES)
     model.toxic = _dictionary([joined(w & telling) for w, label in first if label], min(TOXIC_BYTES, max(512, 3 * len(joined(telling)))))
