@@ -88,9 +88,12 @@ def issue_type(category: Column) -> Column:
 
 def cross_product(parts: list[Column]) -> Column:
     """All concatenations of one element of each array, the first array varying slowest."""
+    def step(done: Column, part: Column) -> Column:
+        return F.flatten(F.transform(done, lambda a: F.transform(part, lambda b: F.concat(a, b))))
+
     out = F.array(F.lit(""))
     for part in parts:
-        out = F.flatten(F.transform(out, lambda a, part=part: F.transform(part, lambda b: F.concat(a, b))))
+        out = step(out, part)
     return out
 
 
