@@ -63,9 +63,10 @@ def _telling(toxic: list[set[bytes]], ordinary: list[set[bytes]], common: set[by
     """Words of toxic texts that recur there, whole or by a beginning that ordinary texts hardly have."""
     stems = lambda words: {w[:n] for w in words for n in range(STEM, len(w) + 1)}
     groups: dict[bytes, set[tuple[int, ...]]] = {}
-    for words in toxic:  # copies mostly share their smallest hashes and count once
-        own = tuple(heapq.nsmallest(4, map(zlib.crc32, words)))
-        for x in stems(words - common):
+    for words in toxic:  # copies mostly share the smallest hash of their rare words, and so count once
+        rare = words - common
+        own = tuple(heapq.nsmallest(1, map(zlib.crc32, rare)) if len(rare) > 3 else heapq.nsmallest(4, map(zlib.crc32, words)))
+        for x in stems(rare):
             groups.setdefault(x, set()).add(own)
     seen = {x: len(g) for x, g in groups.items() if len(g) >= RECUR}
     usual = Counter(x for words in ordinary for x in stems(words) & seen.keys())
