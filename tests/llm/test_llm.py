@@ -176,7 +176,7 @@ def test_classifiers():
     for i, j, data, offsets in textvec.chunks(pa.array(good[200:] + bad[200:])):
         mean = quality.document_means(model, *quality.line_features(data, offsets), j - i)
         assert ((mean > 0.5) == (np.arange(i, j) < 100)).mean() > 0.95
-    toxic = [t.replace(" ", f" {r.choice(('stupid', 'moron', 'scum'))} ", 2) for t in good]
+    toxic = [" ".join([*t.split(), r.choice(("stupid", "moron", "worthless")), r.choice(("disgusting", "idiot", "pathetic"))]) for t in good]
     model = toxicity.train(sorted([(t, 0) for t in good[:200]] + [(t, 1) for t in toxic[:200]]), {0: 200, 1: 200})
     scorer = toxicity.Scorer(model)
     assert np.mean([scorer(t) < 0.5 for t in good[200:]] + [scorer(t) >= 0.5 for t in toxic[200:]]) > 0.9
