@@ -185,12 +185,9 @@ def overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outermost(rows.select("doc_id", F.col("i").alias("offset"), size.alias("length")), ["doc_id"])
 
 
-_REPEATED = Window.partitionBy("doc_id").orderBy("i")
-
-
 def rule_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each word is repeated at once, by language, with ranks; the rule's hits for a scope report."""
-    rows = _numbered(spark, sf_dir).withColumn("next", F.lead("word").over(_REPEATED)).where(r"lower(word) = lower(next) and word rlike '\\p{L}'")
+    rows = _numbered(spark, sf_dir).withColumn("next", F.lead("word").over(Window.partitionBy("doc_id").orderBy("i"))).where(r"lower(word) = lower(next) and word rlike '\\p{L}'")
     hits = rows.groupBy("lang", F.lower("word").alias("rule_id")).agg(F.count("*").alias("hits"))
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("hits"), "rule_id")))
 
