@@ -10,6 +10,10 @@ from proseworks.functions.text import is_mixed_case, is_spell_candidate
 #: Fixed values of a finding.
 RULE_ID, CATEGORY, MESSAGE = "SPELLING_RULE", "TYPOS", "Possible spelling mistake found."
 MOST = 8
+#: Dictionary words longer than this are found by their pieces, as the deletions of a word grow with the square of its length.
+LONG = 20
+#: Rule number of spelling findings, behind those of all rules.
+AFTER_RULES = 2**31 - 1
 
 
 def vocabulary(words: DataFrame) -> DataFrame:
@@ -43,28 +47,88 @@ def flagged(words: DataFrame, dictionary: DataFrame, ignore: DataFrame, prohibit
     return checked.join(known, "word", "left").where(~F.col("ignored") & (F.col("prohibited") | (F.col("unknown") & ~F.coalesce("parts_known", F.lit(False))))).select(*words.columns)
 
 
-def _edits(word: Column) -> Column:
-    """All strings one edit away: deletions, swaps, replacements and insertions of a-z, the word's own letters and A-Z if it begins with a capital."""
-    n = F.length(word)
-    own = F.filter(F.split(word, ""), lambda c: c != "")
-    letters = F.array_distinct(F.concat(
-        F.array(*[F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz"]), own,
-        F.when(word.rlike(r"\A\p{Lu}"), F.array(*[F.lit(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])).otherwise(F.array().cast("array<string>")),
-    ))
-    places = F.sequence(F.lit(1), n)
-    left = lambda i: F.substring(word, F.lit(1), i - 1)
-    right = lambda i: F.substring(word, i, n)
-    cut = F.transform(places, lambda i: F.concat(left(i), right(i + 1)))
-    swap = F.transform(F.filter(places, lambda i: i < n), lambda i: F.concat(left(i), F.substring(word, i + 1, F.lit(1)), F.substring(word, i, F.lit(1)), right(i + 2)))
-    put = F.flatten(F.transform(places, lambda i: F.transform(letters, lambda c: F.concat(left(i), c, right(i + 1)))))
-    add = F.flatten(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.transform(letters, lambda c: F.concat(left(i), c, right(i)))))
-    return F.array_distinct(F.concat(cut, swap, put, add))
+def _without(word: Column, most: int) -> Column:
+    """``word`` and all strings that ``most`` (1 or 2) or fewer deletions make of it."""
+    def once(w: Column) -> Column:
+        return F.transform(F.when(w == "", F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.length(w))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+
+    one = once(word)
+    two = [F.flatten(F.transform(F.array_distinct(one), once))] if most == 2 else []
+    return F.array_distinct(F.concat(F.array(word), one, *two))
+
+
+def _swaps(word: Column) -> Column:
+    """All strings that one swap of neighbouring characters makes of ``word``."""
+    places = F.when(F.length(word) < 2, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.length(word) - 1))
+    return F.transform(places, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.lit(1)), F.substring(word, i, F.lit(1)), F.substring(word, i + 2, F.length(word))))
+
+
+def _pieces(word: Column, edits: int, asked: bool) -> Column:
+    """Keys of a long dictionary word: its equal pieces, 2 * ``edits`` + 1 of them, so that one at least stays whole.
+
+    Of an ``asked`` word: what stands at their places, or up to ``edits`` characters before or behind these, for each
+    possible length of the dictionary word. Their number does not grow with the word.
+    """
+    n, number = F.length(word), 2 * edits + 1
+    shifts = F.array(*[F.lit(x) for x in (range(-edits, edits + 1) if asked else [0])])
+    start = lambda m, i: F.floor(m * i / number).cast("int")
+    piece = lambda m, i, x: F.concat(m.cast("string"), F.lit(":"), i.cast("string"), F.lit(":"), F.substring(word, start(m, i) + x + 1, start(m, i + 1) - start(m, i)))
+    lengths = F.filter(F.sequence(n - edits, n + edits) if asked else F.array(n), lambda m: m > LONG)
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda m: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(number - 1)), lambda i: F.transform(shifts, lambda x: piece(m, i, x)))))))
+
+
+def _within(word: Column, other: Column, edits: int) -> Column:
+    """Whether so many edits (deletion, insertion, replacement, swap of neighbours), 1 or 2, lead from one word to the other."""
+    far = lambda x, y, k: F.levenshtein(x, y, k) < 0
+    if edits == 1:
+        return ~far(word, other, 1) | F.array_contains(_swaps(word), other)
+    # A swap is the first of two edits, seen from one end or from the other, or both are swaps.
+    return ~far(word, other, 2) | F.exists(_swaps(word), lambda x: ~far(x, other, 1)) | F.exists(_swaps(other), lambda x: ~far(word, x, 1)) | F.arrays_overlap(_swaps(word), _swaps(other))
+
+
+def _near(words: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
+    """word, suggestion, freq: dictionary words within so many edits, whose letters are a-z, the word's own, or, if it begins with a capital, A-Z.
+
+    Two words within k edits have a string in common that k deletions make of each, so an equi-join on such strings
+    finds all pairs; dictionary words longer than ``LONG`` are found by their pieces. Pairs are then verified.
+    """
+    n, none = F.length("word"), F.array().cast("array<string>")
+    w, known_word = F.col("word"), F.col("suggestion")
+    asked_keys = F.concat(F.when(n <= LONG + edits, _without(w, edits)).otherwise(none), F.when(n > LONG - edits, _pieces(w, edits, True)).otherwise(none))
+    own = words.select("word").distinct().select("word", F.explode(asked_keys).alias("__key"))
+    known = dictionary.select(F.col("word").alias("suggestion"), "freq").where(known_word.isNotNull())
+    known = known.select("suggestion", "freq", F.explode(F.when(F.length(known_word) <= LONG, _without(known_word, edits)).otherwise(_pieces(known_word, edits, False))).alias("__key"))
+    pairs = own.join(known, "__key").where("word <> suggestion").select("word", "suggestion", "freq").distinct()
+    word, other = F.col("word"), F.col("suggestion")
+    drop = lambda c, letters: F.call_function("translate", c, letters, F.lit(""))
+    strange = drop(drop(other, F.lit("abcdefghijklmnopqrstuvwxyz")), word)
+    strange = F.when(word.rlike(r"\A\p{Lu}"), drop(strange, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).otherwise(strange)
+    return pairs.where(_within(word, other, edits) & (strange == ""))
 
 
 def suggestions(words: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """word, suggestions: dictionary words one edit away, the most frequent first, at most ``MOST``; ``dictionary`` has word, freq."""
-    near = words.select("word", F.explode(_edits(F.col("word"))).alias("suggestion")).where("suggestion <> word")
-    found = near.join(dictionary.select(F.col("word").alias("suggestion"), "freq"), "suggestion")
+    """word, suggestions: dictionary words one edit away, or two where none is, the most frequent first, at most ``MOST``.
+
+    ``dictionary`` has word, freq. Words without any suggestion have no row; repeated and null words count once and not at all.
+    """
+    words = words.select("word").where("word is not null").distinct()
+    first = _near(words, dictionary, 1)
+    second = _near(words.join(first.select("word").distinct(), "word", "left_anti"), dictionary, 2)
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("freq"), "suggestion"))
-    best = found.withColumn("rank", rank).where(F.col("rank") <= MOST)
+    best = first.union(second).withColumn("rank", rank).where(F.col("rank") <= MOST)
     return best.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "suggestion"))), lambda x: x["suggestion"]).alias("suggestions"))
+
+
+def findings(tokens: DataFrame, dictionary: DataFrame, ignore: DataFrame, prohibit: DataFrame, sentence_ends: bool = False) -> DataFrame:
+    """Spelling findings in ``tokens`` (doc_id, sent_id, offset, word, is_end), decided once for each distinct word.
+
+    The last token of a sentence is left out unless ``sentence_ends``. Columns are those of the grammar findings; on
+    equal spans they follow them.
+    """
+    used = tokens if sentence_ends else tokens.where("not is_end")
+    bad = flagged(vocabulary(used).select("word"), dictionary, ignore, prohibit)
+    named = bad.join(suggestions(bad, dictionary), "word", "left")
+    return used.join(named, "word").select(
+        "doc_id", "sent_id", "offset", F.length("word").alias("length"), F.lit(MESSAGE).alias("message"), F.coalesce("suggestions", F.array().cast("array<string>")).alias("replacements"),
+        F.lit(RULE_ID).alias("rule_id"), F.lit(CATEGORY).alias("category_id"), F.lit(AFTER_RULES).alias("rule_ord"), F.lit(0).alias("match_ord"),
+    )

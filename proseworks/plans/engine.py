@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseworks.functions.text import context, issue_type
-from proseworks.operators.analysis import analyze, disambiguate
+from proseworks.operators import spelling
+from proseworks.operators.analysis import analyze, disambiguate, tokenize
 from proseworks.operators.grammar import RuleIndex, check_sentence
 from proseworks.session import ship
 from proseworks.sources.pack import Pack
 
 FINDINGS = "doc_id long, sent_id int, offset int, length int, message string, replacements array<string>, rule_id string, category_id string, rule_ord int, match_ord int"
+_TOKENS = "doc_id long, sent_id int, offset int, word string, is_end boolean"
 _DUMP = "doc_id long, line long, text string"
 
 
@@ -49,6 +51,38 @@ class Engine:
 
         return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, FINDINGS)
 
+    def tokens(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+        """doc_id, sent_id, offset, word, is_end: the tokens that are not white space; null texts have none."""
+        ship(docs.sparkSession)
+        engine = self
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            segmenter, lexicon = engine.pack.segmenter(), engine.pack.lexicon()
+            for batch in batches:
+                rows = []
+                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    base = 0
+                    for n, sentence in enumerate(segmenter.sentences(t or "")):
+                        at, own = base, []
+                        for token in tokenize(sentence, lexicon.knows):
+                            if not token.isspace():
+                                own.append((i, n, at, token))
+                            at += len(token)
+                        rows += [(*x, k == len(own) - 1) for k, x in enumerate(own)]
+                        base += len(sentence)
+                if rows:
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in _TOKENS.split(", ")])
+
+        return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _TOKENS)
+
+    def check_all(self, docs: DataFrame, dictionary: DataFrame, text: str = "text", key: str = "doc_id", picky: bool = False, sentence_ends: bool = False) -> DataFrame:
+        """Grammar findings and those of spelling, which overlaps do not concern. ``dictionary``: word, freq."""
+        spark = docs.sparkSession
+        words = lambda w: spark.createDataFrame([(x,) for x in w], "word string")
+        spelled = spelling.findings(self.tokens(docs, text, key), dictionary, words(self.pack.ignore), words(self.pack.prohibit), sentence_ends)
+        return self.check(docs, text, key, picky).unionByName(spelled)
+
     def dump(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """The analysed sentences as lines: SENT|text, then TOK|surface|lemma/tag#..., the sign of the empty set for nulls."""
         ship(docs.sparkSession)

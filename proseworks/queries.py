@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proseworks.functions import text as T
-from proseworks.operators import spelling
+from proseworks.operators import spelling, synthesis
+from proseworks.plans import reports
 from proseworks.plans.engine import Engine, keep, outermost, response
 from proseworks.sources.pack import builtin
 
@@ -105,7 +106,7 @@ hyph AS (SELECT word, bool_and(part <> '' AND (list_contains({list(_IGNORE)!r},
 SELECT word, n FROM vocab WHERE NOT list_contains({list(_IGNORE)!r}, word) AND NOT list_contains({list(_IGNORE)!r}, lower(word))
  AND (list_contains({list(_PROHIBIT)!r}, word) OR (NOT {_KNOWN.format(w='vocab.word')} AND word NOT IN (SELECT word FROM hyph WHERE ok)))"""
 #: Misspellings that suggestions are asked for, fixed values.
-_ASKED = ("teh", "thhe", "adn", "ofr", "thatt", "wiht", "fo", "xandx", "hte", "ar")
+_ASKED = ("teh", "thhe", "adn", "ofr", "thatt", "wiht", "fo", "xandx", "hte", "ar", "qthqe", "whcihh", "ehtw", "zzzqqq")
 
 
 def spell_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +116,7 @@ def spell_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SUGGEST_SQL = f"""WITH {_VOCAB}, asked AS (SELECT unnest({list(_ASKED)!r}) AS word),
 found AS (SELECT a.word, d.word AS s, row_number() OVER (PARTITION BY a.word ORDER BY d.freq DESC, d.word) AS k FROM asked a JOIN dict d
- ON regexp_matches(d.word, '^[a-z]+$') AND damerau_levenshtein(a.word, d.word) = 1)
+ ON regexp_matches(d.word, '^[a-z]+$') AND damerau_levenshtein(a.word, d.word) = (SELECT min(damerau_levenshtein(a.word, m.word)) FROM dict m WHERE regexp_matches(m.word, '^[a-z]+$') AND m.word <> a.word) AND damerau_levenshtein(a.word, d.word) <= 2)
 SELECT word, string_agg(s, '|' ORDER BY k) AS suggestions FROM found WHERE k <= 8 GROUP BY word"""
 
 #: form, code and stem, fixed values.
@@ -212,8 +213,8 @@ _CONTEXT_SQL = """SELECT doc_id, CASE WHEN o > 20 THEN '...' ELSE '' END || subs
 
 
 def check_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the built-in rules in every document, one category switched off."""
-    return keep(Engine(builtin()).check(_docs(spark, sf_dir)), disabled_categories="NONE, ")
+    """Findings of the built-in rules and of spelling, against the corpus's own frequent words, in every document, one category switched off."""
+    return keep(Engine(builtin()).check_all(_docs(spark, sf_dir), spell_vocab_dict(spark, sf_dir)), disabled_categories="TYPOGRAPHY, ")
 
 
 def check_response(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,6 +222,51 @@ def check_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return response(Engine(builtin()).check(docs), docs)
 
 
+def tag_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct words with their sorted readings as one text; without readings it is empty."""
+    words = _words(spark, sf_dir).where(r"word rlike '\\p{L}'").select("word").distinct()
+    tagged = tag_cascade(spark, sf_dir).groupBy("word").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("/", "lemma", "pos"))), "|").alias("readings"))
+    return words.join(tagged, "word", "left").select("word", F.col("readings").isNotNull().alias("tagged"), F.coalesce("readings", F.lit("")).alias("readings"))
+
+
+#: Lemmas and tag patterns that forms are asked for, fixed values.
+_SYNTH = [("cat", "NNS?"), ("dog", "NNS"), ("be", "VB[ZP]"), ("go", "VB"), ("go", "V.*")]
+
+
+def synth_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pack = builtin()
+    asked = spark.createDataFrame(_SYNTH, "lemma string, pattern string")
+    found = synthesis.by_pattern(asked, spark.createDataFrame(pack.synth, "lemma string, pos string, form string"), spark.createDataFrame([(t,) for t in pack.tags], "tag string"))
+    return found.select("lemma", "pattern", F.array_join("forms", "|").alias("forms"))
+
+
+def _synth_sql() -> str:
+    pack = builtin()
+    rows = lambda x: ", ".join(map(str, x))
+    return f"""WITH asked(lemma, pattern) AS (VALUES {rows(_SYNTH)}), synth(lemma, pos, form) AS (VALUES {rows(pack.synth)}), tags AS (SELECT unnest({pack.tags!r}) AS tag)
+SELECT a.lemma, a.pattern, string_agg(DISTINCT s.form, '|' ORDER BY s.form) AS forms FROM asked a JOIN tags t ON regexp_full_match(t.tag, a.pattern) JOIN synth s ON s.lemma = a.lemma AND s.pos = t.tag GROUP BY 1, 2"""
+
+
+def span_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How places of "of" and "the" agree with all places of "of"."""
+    expected = _numbered(spark, sf_dir).where("lower(word) = 'of'").select("doc_id", "i")
+    return reports.parity(pattern_literal_bigram(spark, sf_dir), expected, ["doc_id", "i"])
+
+
+_PARITY_SQL = f"""WITH {_NUM}, e AS (SELECT DISTINCT doc_id, i FROM num WHERE lower(word) = 'of'),
+f AS (SELECT DISTINCT a.doc_id, a.i FROM num a JOIN num b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE lower(a.word) = 'of' AND lower(b.word) = 'the'),
+n AS (SELECT count(*) FILTER (f.i IS NOT NULL AND e.i IS NOT NULL) AS b, count(*) FILTER (e.i IS NULL) AS x, count(*) FILTER (f.i IS NULL) AS y FROM e FULL JOIN f ON e.doc_id = f.doc_id AND e.i = f.i)
+SELECT b AS "both", x AS only_found, y AS only_expected, CAST(CASE WHEN b + x > 0 THEN b / (b + x) ELSE 0 END AS DOUBLE) AS precision, CAST(CASE WHEN b + y > 0 THEN b / (b + y) ELSE 0 END AS DOUBLE) AS recall FROM n"""
+
+
+def rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.coverage(reports.rules(spark, builtin()))
+
+
+def rule_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.example_report(reports.examples(spark, builtin()))
+
+
 def analysis_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(builtin()).dump(_docs(spark, sf_dir))
 
@@ -230,6 +276,7 @@ QUERIES = {
     for f in (
         sent_segment, sent_stats_by_lang, token_scan, tokens_ws_before, case_shape, spell_vocab_dict, spell_misspelled, spell_suggest, suffix_decode, tag_cascade,
         pattern_literal_bigram, antipattern_suppress, overlap_filter, rule_frequency, scope_rollup, context_window, check_merged, check_response, analysis_dump,
+        tag_dump, synth_forms, span_parity, rule_coverage, rule_examples,
     )
 }
 
@@ -254,4 +301,8 @@ SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s k WHERE k.doc_id = s.doc_id AN
     "rule_frequency": f"WITH {_REP} SELECT lang, rule_id, hits, CAST(row_number() OVER (PARTITION BY lang ORDER BY hits DESC, rule_id) AS INTEGER) AS rank FROM rep",
     "scope_rollup": f"WITH {_REP} SELECT lang, count(DISTINCT rule_id) AS rules, CAST(sum(hits) AS BIGINT) AS hits FROM rep GROUP BY ROLLUP (lang)",
     "context_window": _CONTEXT_SQL,
+    "tag_dump": _TAG_SQL.replace("SELECT * FROM direct UNION ALL SELECT * FROM title", """, tags AS (SELECT * FROM direct UNION ALL SELECT * FROM title)
+SELECT words.word, count(tags.lemma) > 0 AS tagged, coalesce(string_agg(lemma || '/' || pos, '|' ORDER BY lemma || '/' || pos), '') AS readings FROM words LEFT JOIN tags ON tags.word = words.word GROUP BY words.word"""),
+    "synth_forms": _synth_sql(),
+    "span_parity": _PARITY_SQL,
 }

@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from proseworks.functions import text as T
-from proseworks.operators import spelling
+from proseworks.operators import spelling, synthesis
 from proseworks.operators.analysis import Lexicon, analyze, disambiguate, tokenize
 from proseworks.operators.grammar import Finding, RuleIndex, check_sentence, findings_of, without_contained
 from proseworks.operators.matching import Position, match_at, scan
+from proseworks.plans import reports
 from proseworks.plans.engine import Engine, outermost
 from proseworks.plans.ir import PatternSpec, TokenSpec
 from proseworks.sources.automaton import Automaton, FormatError, decode_suffix, parse_info
@@ -130,6 +131,63 @@ def test_spelling(spark):
     assert spelling.suggestions(words("houuse", "ouse"), dictionary).orderBy("word").collect()[1]["suggestions"] == ["house", "mouse"]
 
 
+def _edits(word, letters):
+    cuts = [(word[:i], word[i:]) for i in range(len(word) + 1)]
+    out = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
+    return out | {a + c + b[k:] for a, b in cuts for c in letters for k in (0, 1) if k <= len(b)}
+
+
+def test_suggestions_agree_with_generated_edits(spark):
+    r = random.Random(8)
+    make = lambda n: "".join(r.choice("abcd") for _ in range(n))
+    known = {make(r.randint(1, 7)): r.randint(0, 3) for _ in range(150)}
+    asked = {make(r.randint(1, 8)) for _ in range(60)} | {"zzzzzzzz", ""}
+    expected = {}
+    for w in asked:
+        one = _edits(w, "abcd")
+        two = {x for y in one for x in _edits(y, "abcd")}
+        hits = [k for k in known if k in one and k != w] or [k for k in known if k in two and k != w]
+        if hits:
+            expected[w] = sorted(hits, key=lambda k: (-known[k], k))[: spelling.MOST]
+    got = spelling.suggestions(spark.createDataFrame([(w,) for w in [*asked, *asked, None]], "word string"), spark.createDataFrame(list(known.items()), "word string, freq int"))
+    assert {x["word"]: x["suggestions"] for x in got.collect()} == expected
+    long = ["".join(r.choice("abcdefgh") for _ in range(n)) for n in (*range(18, 25), 400) for _ in range(3)]
+    edit = lambda w: (lambda i, k: w[:i] + ("", r.choice("abcdefgh") + w[i : i + 1], r.choice("abcdefgh"), w[i + 1 : i + 2] + w[i : i + 1])[k] + w[i + (2 if k == 3 else 1) :])(r.randrange(len(w)), r.randrange(4))
+    wrong = {x: w for w in long for x in [edit(edit(w)) for _ in range(6)] if x != w}
+    got = spelling.suggestions(spark.createDataFrame([(x,) for x in wrong], "word string"), spark.createDataFrame([(w, 1) for w in long], "word string, freq int"))
+    assert {x["word"]: x["suggestions"] for x in got.collect()} == {x: [w] for x, w in wrong.items()}
+    only_own = spelling.suggestions(spark.createDataFrame([("nave",), ("Nave",), ("näve",)], "word string"), spark.createDataFrame([("näve", 1), ("Save", 1), ("näive", 1)], "word string, freq int"))
+    assert {x["word"]: x["suggestions"] for x in only_own.collect()} == {"Nave": ["Save"], "näve": ["näive"]}
+
+
+def test_spelling_findings_join_the_others(spark):
+    docs = spark.createDataFrame([(1, "The catz is old now. the the housse"), (2, None), (3, "")], "doc_id long, text string")
+    dictionary = spark.createDataFrame([(w, 1) for w in "the cats house is old now".split()], "word string, freq int")
+    rows = Engine(builtin()).check_all(docs, dictionary).collect()
+    assert sorted((r["offset"], r["length"], r["rule_id"], tuple(r["replacements"])) for r in rows) == [(4, 4, spelling.RULE_ID, ("cats",)), (21, 7, "REPEATED_THE", ("the",))]
+    ends = Engine(builtin()).check_all(docs, dictionary, sentence_ends=True).where("category_id = 'TYPOS'").collect()
+    assert {(r["offset"], tuple(r["replacements"])) for r in ends} == {(4, ("cats",)), (29, ("house",))}
+
+
+def test_reports_and_synthesis(spark):
+    pack = builtin()
+    rules = reports.rules(spark, pack)
+    row = reports.coverage(rules).first()
+    assert row["rules"] == len(pack.grammar) and row["supported"] == sum(not r.unsupported for r in pack.grammar)
+    assert reports.coverage(rules.limit(0)).first()["percent"] == 0
+    flagged = spark.createDataFrame([(0, ["a", "a", "b"]), (1, ["a"]), (2, [])], "rule_ord int, unsupported array<string>")
+    assert {tuple(x) for x in reports.unsupported(flagged).collect()} == {("a", 2), ("b", 1)}
+    for x in reports.example_report(reports.examples(spark, pack)).collect():
+        assert x["passed"] == x["examples"] > 0 and x["percent"] == 100
+    spans = lambda *x: spark.createDataFrame([(v,) for v in x], "i int")
+    assert tuple(reports.parity(spans(1, 1, 2, None), spans(2, 3, None, 4), ["i"]).first()) == (2, 1, 2, 2 / 3, 0.5)
+    assert tuple(reports.parity(spans(), spans(), ["i"]).first()) == (0, 0, 0, 0.0, 0.0)
+    synth = spark.createDataFrame([("be", "VBZ", "is"), ("be", "VBP", "are"), ("be", "VBP", "are"), ("be", "XVBP", "x")], "lemma string, pos string, form string")
+    asked = spark.createDataFrame([("be", "VB[ZP]", "VBP"), ("no", "VBP", "VBZ")], "lemma string, pattern string, pos string")
+    assert [tuple(x) for x in synthesis.by_pattern(asked, synth, synth.select(F.col("pos").alias("tag"))).collect()] == [("be", "VB[ZP]", ["are", "is"])]
+    assert [tuple(x) for x in synthesis.by_tag(asked, synth).collect()] == [("be", "VBP", ["are"])]
+
+
 def _encode(words):
     """A tiny writer: a tree of nodes, each arc with its label and a target of two bytes."""
     tree = {}
