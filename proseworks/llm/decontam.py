@@ -1,15 +1,15 @@
 """Training documents that hold test items, exact, edited or paraphrased.
 
-1. Every run of ``size`` words of the test items is counted over all documents; the seeds of an item are
-   its rarer half (runs as rare as the median one are all kept, so an item that is copied everywhere keeps its seeds).
+1. Every run of ``size`` words of an item is a seed, however rare or common it is: an edited copy may keep any of them.
 2. A document's passages that share at least ``hits`` seeds with an item, at nearly the same distance from its start,
-   are aligned with the item by Smith-Waterman over words (match 2, mismatch -1, gap -1).
+   are aligned with the item by Smith-Waterman over words (match 2, mismatch -1, gap -1), unless
+   they hold too few of its words to reach the score.
 3. A passage counts as a copy when its score is at least ``least`` of the score of the item itself.
 
 The items are few next to the documents: their total size is checked, and where it is over
 ``BLOCK_BYTES`` they are taken in blocks, each against all documents. Documents are never shuffled.
 
-Words are runs of ASCII letters and digits and of all other characters beyond ASCII; A-Z are lower-cased.
+Words are runs of ASCII letters and digits and of all other characters beyond ASCII, lower-cased by Unicode.
 Defined cases: null and empty texts match nothing; items with fewer than ``size`` words have no
 seeds and match nothing; repeated documents or items are matched each; rows with null ids take part and carry the null;
 other columns are ignored. A text is read whole.
@@ -47,6 +47,23 @@ def _runs(h: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _lower(text: bytes) -> np.ndarray:
+    low = text.decode(errors="surrogateescape").lower().replace("\u03c2", "\u03c3")  # one small sigma, wherever in a word
+    return np.frombuffer(low.encode(errors="surrogateescape"), np.uint8)
+
+
+def _lowered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same words in lower case: beyond ASCII too, where a letter and its lower case may differ in length."""
+    if not len(data) or data.max() < 128:
+        return data, start, end
+    low = _lower(data.tobytes())
+    if len(low) != len(data) or (((low & 192) == 128) != ((data & 192) == 128)).any():
+        # some letter's lower case has another length; none adds or drops a separator, so the words stay in order
+        low = _lower(b" ".join(data[a:b].tobytes() for a, b in zip(start, end)))
+        start, end, _ = textvec.words(low, np.array([0, len(low)]), textvec.ALNUM)
+    return low, start, end
+
+
 class Items:
     """Word hashes of test items, and where each run of words stands in them."""
 
@@ -56,9 +73,7 @@ class Items:
         self.words: list[np.ndarray] = []
         runs, item, place = [], [], []
         for n, (_, text) in enumerate(rows):
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            start, end, _ = textvec.words(data, np.array([0, len(data)]), textvec.ALNUM)
-            h = textvec.hashes(data, start, end)
+            (*_, h, _), = _words(pa.array([text or ""]), size)
             self.words.append(h)
             r = _runs(h, np.zeros(len(h), np.int64), size)[: max(0, len(h) - size + 1)]
             runs.append(r), item.append(np.full(len(r), n)), place.append(np.arange(len(r)))
@@ -66,37 +81,16 @@ class Items:
         order = np.argsort(runs, kind="stable")
         self.item, self.place = item[order].astype(np.int64), place[order].astype(np.int64)
         self.runs, self.first, self.count = np.unique(runs[order].astype(np.uint64), return_index=True, return_counts=True)
-        self.use(np.ones(len(self.runs), bool))
-
-    def use(self, wanted: np.ndarray) -> None:
-        """Look only for these runs."""
-        self.wanted = wanted
         self.filter = np.zeros(1 << _BITS, bool)
-        self.filter[(self.runs[wanted] >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.filter[(self.runs >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
     def find(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index in ``runs``, index of the run here) of the wanted ones."""
+        """(index in ``runs``, index of the run here) of those that items have."""
         at = np.flatnonzero(self.filter[(runs >> np.uint64(64 - _BITS)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.runs, runs[at]), max(len(self.runs) - 1, 0))
-        ok = (self.runs[k] == runs[at]) & self.wanted[k] if len(self.runs) else np.zeros(0, bool)
+        ok = self.runs[k] == runs[at] if len(self.runs) else np.zeros(0, bool)
         return at[ok], k[ok]
 
-    def keep_rare(self, counts: np.ndarray) -> None:
-        """The rarer half of each item's runs become its seeds."""
-        seeds = np.zeros(len(self.runs), bool)
-        run = np.repeat(np.arange(len(self.runs)), self.count)
-        for n in range(len(self.ids)):
-            own = run[self.item == n] if len(self.ids) < 64 else self._own(run, n)
-            if len(own):
-                seeds[own[counts[own] <= np.median(counts[own])]] = True
-        self.use(seeds)
-
-    def _own(self, run: np.ndarray, n: int) -> np.ndarray:
-        if not hasattr(self, "_order"):
-            self._order = np.argsort(self.item, kind="stable")
-            self._cuts = np.searchsorted(self.item[self._order], np.arange(len(self.ids) + 1))
-        return run[self._order[self._cuts[n] : self._cuts[n + 1]]]
-
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """(best local score, first word, word after the last word) of an alignment of two word sequences."""
@@ -130,9 +124,14 @@ def _matches(items: Items, h: np.ndarray, runs: np.ndarray, hits: int, least: fl
     offset = np.arange(len(spread)) - np.repeat(np.cumsum(items.count[k]) - items.count[k], items.count[k])
     posting = items.first[k][spread] + offset
     item, place, word = items.item[posting], items.place[posting], at[spread]
-    for n in np.unique(item):
-        own = item == n
+    order = np.argsort(item, kind="stable")
+    item, place, word = item[order], place[order], word[order]
+    found, first, count = np.unique(item, return_index=True, return_counts=True)
+    for n, at_first, several in zip(found, first, count):
         size = len(items.words[n])
+        if several < min(hits, size - items.size + 1):
+            continue
+        own = slice(at_first, at_first + several)
         slack = max(6, size // 3)
         base = np.sort(word[own] - place[own])  # where the item would begin
         best = (0.0, 0, 0, 0)
@@ -141,8 +140,9 @@ def _matches(items: Items, h: np.ndarray, runs: np.ndarray, hits: int, least: fl
             j = int(np.searchsorted(base, base[i] + slack, "right"))
             if j - i >= min(hits, max(1, size - items.size + 1)):
                 lo, hi = max(0, int(base[i]) - slack), min(len(h), int(base[j - 1]) + size + slack)
-                score, a, b = smith_waterman(items.words[n], h[lo:hi])
-                best = max(best, (score / (2 * size), j - i, lo + a, lo + b))
+                if np.isin(items.words[n], h[lo:hi]).sum() >= least * size:  # else no alignment reaches ``least``
+                    score, a, b = smith_waterman(items.words[n], h[lo:hi])
+                    best = max(best, (score / (2 * size), j - i, lo + a, lo + b))
             i = j
         if best[0] >= least:
             yield int(n), *best
@@ -168,27 +168,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, hits:
 def _words(column: pa.Array, size: int) -> Iterator[tuple]:
     for i, j, data, offsets in textvec.chunks(column):
         start, end, row = textvec.words(data, offsets, textvec.ALNUM)
-        h = textvec.hashes(data, start, end)
+        h = textvec.hashes(*_lowered(data, start, end))
         yield i, j, offsets, start, end, row, h, _runs(h, row, size)
 
 
 def _block(slim: DataFrame, items: Items, hits: int, least: float) -> DataFrame:
     context = slim.sparkSession.sparkContext
-    shared = context.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        total = np.zeros(len(items.runs), np.int64)
-        for batch in batches:
-            for *_, runs in _words(batch.column(0), items.size):
-                total += np.bincount(items.find(runs)[1], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["run", "n"])
-
-    counts = np.zeros(len(items.runs), np.int64)
-    for r in slim.select("text").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).collect():  # one row a run of the items
-        counts[r["run"]] = r["n"]
-    items.keep_rare(counts)
     chosen = context.broadcast(items)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

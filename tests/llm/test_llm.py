@@ -195,6 +195,40 @@ def test_decontamination(spark):
     assert sorted(x["doc_id"] for x in decontam.decontaminate(frame(spark, texts), items).collect()) == [*range(10), 12, 13]
 
 
+def _brute_score(item, words):
+    low = lambda w: w.lower().replace("\u03c2", "\u03c3")
+    item, words, best = [*map(low, item)], [*map(low, words)], 0
+    row = [0] * (len(words) + 1)
+    for x in item:
+        new = [0]
+        for j, w in enumerate(words):
+            new.append(max(0, row[j] + (2 if w == x else -1), row[j + 1] - 1, new[j] - 1))
+        row, best = new, max(best, *new)
+    return best
+
+
+def test_decontamination_finds_edited_copies(spark):
+    r = random.Random(8)
+    items = [prose(r, r.randint(25, 45)).split() for _ in range(12)]
+    items[3] = "l'école é cœur déjà où été garçon naïve über straße größe señor niño çà ΟΔΟΣ İzmir Ⱥb élan".replace("'", " ").split()
+    docs = []
+    for n, item in enumerate(items):
+        for percent in (15, 20, 25, 30):
+            w = list(item)
+            for i in r.sample(range(len(w)), len(w) * percent // 100):
+                w[i] = f"edit{r.randrange(1000)}"
+            docs.append(prose(r, 30).split() + w + prose(r, 30).split())
+        for _ in range((0, 1, 3, 20)[n % 4]):  # intact copies make the runs of the edited ones commoner
+            docs.append(prose(r, 9).split() + [w.upper() for w in item] + prose(r, 9).split())
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    rows = decontam.contaminated(frame(spark, [" ".join(d) for d in docs]), table).collect()
+    want = {(d, n) for d, words in enumerate(docs) for n, item in enumerate(items) if _brute_score(item, words) >= len(item)}
+    assert {(x["doc_id"], x["item_id"]) for x in rows} == want and len(want) > 100
+    for x in rows:
+        passage = " ".join(docs[x["doc_id"]]).encode()[x["start"] : x["end"]].decode().split()
+        assert _brute_score(items[x["item_id"]], passage) == round(x["score"] * 2 * len(items[x["item_id"]]))
+
+
 def test_pipeline_on_a_small_fixture(spark, texts, tmp_path):
     frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
