@@ -1,10 +1,11 @@
 """Training documents that hold test items, exact, edited or paraphrased.
 
 1. Every run of ``size`` words of an item is a seed, however rare or common it is: an edited copy may keep any of them.
-2. A document's passages that share at least ``hits`` seeds with an item, at nearly the same distance from its start,
-   are aligned with the item by Smith-Waterman over words (match 2, mismatch -1, gap -1), unless
-   they hold too few of its words to reach the score.
-3. A passage counts as a copy when its score is at least ``least`` of the score of the item itself.
+2. A document's passages that share at least ``hits`` seeds with an item are aligned with the item by Smith-Waterman over words (match 2, mismatch -1, gap -1), unless
+   they hold too few of its words to reach the score. Seeds whose implied starts differ by no more words than the gaps of
+   a passage of sufficient score can have are aligned together, over all words that such a passage can reach.
+3. A passage counts as a copy when its score is at least ``least`` of the score of the item itself, or that of
+   ``ENOUGH`` words without an edit, so that a long excerpt of a longer item counts as well.
 
 The items are few next to the documents: their total size is checked, and where it is over
 ``BLOCK_BYTES`` they are taken in blocks, each against all documents. Documents are never shuffled.
@@ -30,6 +31,8 @@ from proseworks.session import ship
 
 SIZE = 3
 BLOCK_BYTES = 16 << 20
+#: So many words in a row are a copy, whatever part of the item they are.
+ENOUGH = 50
 _BITS = 22
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -132,24 +135,25 @@ def _matches(items: Items, h: np.ndarray, runs: np.ndarray, hits: int, least: fl
         if several < min(hits, size - items.size + 1):
             continue
         own = slice(at_first, at_first + several)
-        slack = max(6, size // 3)
-        base = np.sort(word[own] - place[own])  # where the item would begin
+        need = min(2 * size * least, 2 * ENOUGH)
+        gap = int(2 * size - need)  # words inserted or left out that a passage of that score can have
+        order = np.argsort(word[own] - place[own], kind="stable")
+        base, at_word = (word[own] - place[own])[order], word[own][order]  # where the item would begin
+        cuts = [0, *(np.flatnonzero(np.diff(base) > gap) + 1), len(base)]
         best = (0.0, 0, 0, 0)
-        i = 0
-        while i < len(base):
-            j = int(np.searchsorted(base, base[i] + slack, "right"))
-            if j - i >= min(hits, max(1, size - items.size + 1)):
-                lo, hi = max(0, int(base[i]) - slack), min(len(h), int(base[j - 1]) + size + slack)
-                if np.isin(items.words[n], h[lo:hi]).sum() >= least * size:  # else no alignment reaches ``least``
+        for i, j in zip(cuts, cuts[1:]):
+            if j - i >= min(hits, size - items.size + 1):
+                lo, hi = max(0, int(base[i]) - gap), min(len(h), int(base[j - 1]) + size + gap)
+                if 2 * np.isin(items.words[n], h[lo:hi]).sum() >= need:  # else no alignment reaches it
                     score, a, b = smith_waterman(items.words[n], h[lo:hi])
-                    best = max(best, (score / (2 * size), j - i, lo + a, lo + b))
-            i = j
-        if best[0] >= least:
+                    seeds = int(((at_word[i:j] >= lo + a) & (at_word[i:j] < lo + b)).sum())
+                    best = max(best, (score / (2 * size), seeds, lo + a, lo + b))
+        if best[0] * 2 * size >= need:
             yield int(n), *best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, hits: int = 2, least: float = 0.5, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each document and test item found in it: doc_id, item_id, score (0.5 to 1), seeds, start and end (bytes of the text)."""
+    """A row for each document and test item found in it: doc_id, item_id, score (0.5 to 1; less for a long excerpt of a longer item), seeds, start and end (bytes of the text)."""
     spark = docs.sparkSession
     ship(spark)
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))

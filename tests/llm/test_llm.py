@@ -229,6 +229,28 @@ def test_decontamination_finds_edited_copies(spark):
         assert _brute_score(items[x["item_id"]], passage) == round(x["score"] * 2 * len(items[x["item_id"]]))
 
 
+def test_decontamination_finds_long_insertions_and_excerpts(spark):
+    r = random.Random(9)
+    own = lambda k, n: [f"{k}{i}" for i in range(n)]
+    items = [own("a", 30), own("b", 300), own("c", 40), own("d", 30), ["two", "words"]]
+    changed = [*items[0]]
+    changed[6], changed[22] = "other", "another"
+    out = [
+        prose(r, 40).split() + changed[:15] + prose(r, 20).split() + changed[15:] + prose(r, 40).split(),  # 28 * 2 - 2 - 20 of 60
+        prose(r, 40).split() + items[1][120:175] + prose(r, 40).split(),  # an excerpt of 55 of 300 words
+        prose(r, 40).split() + items[1][120:160] + prose(r, 40).split(),  # one of 40 words is not enough
+        items[2][:12] + items[2][22:] + prose(r, 9).split(),  # a part left out
+        prose(r, 9).split() + items[3][:12] + prose(r, 60).split() + items[3][18:] + prose(r, 9).split(),  # too far apart
+        prose(r, 9).split() + ["two", "words"],
+    ]
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    rows = decontam.contaminated(frame(spark, [" ".join(x) for x in out]), table).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in rows} == {(0, 0), (1, 1), (3, 2)}
+    for x in rows:
+        item = items[x["item_id"]]
+        assert round(x["score"] * 2 * len(item)) == _brute_score(item, out[x["doc_id"]])
+
+
 def test_pipeline_on_a_small_fixture(spark, texts, tmp_path):
     frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
