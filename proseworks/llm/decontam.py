@@ -199,6 +199,8 @@ def _block(slim: DataFrame, items: Items, hits: int, least: float) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a test item; rows with a null id stay."""
-    gone = stored(contaminated(docs, benchmark, text=text, key=key, **options).where("doc_id is not null").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
-    return without_ids(docs, key, gone)
+    """``docs`` without the rows that hold a test item, whatever their ids: a row is told by its id and text."""
+    row = "__row"
+    docs = docs.withColumn(row, F.xxhash64(key, text))
+    gone = stored(contaminated(docs, benchmark, text=text, key=row, **options).select(F.col("doc_id").alias(row)).distinct(), "contaminated")
+    return without_ids(docs, row, gone).drop(row)

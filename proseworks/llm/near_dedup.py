@@ -19,7 +19,8 @@ A pair of similarity s is missed only if none of the ``TREES`` independent first
 
 Defined cases: texts that are null, empty or without words have an empty set and link with
 nothing; with fewer words than the shingle the whole sequence is the one shingle; null ids keep a null
-component; rows that repeat an id share one component; input columns other than id and text are ignored.
+component; ``near_duplicates`` names groups by ids, so different texts under one id may fall into different
+components or join theirs, while ``deduplicate`` numbers rows whose ids are missing or repeat; input columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -374,6 +375,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one with the smallest id. Rows with a null id stay."""
-    gone = stored(near_duplicates(docs, size, percent, text, key).where("not kept").select(F.col("doc_id").alias(key)), "near-gone")
-    return without_ids(docs, key, gone)
+    """``docs`` with one row of each group of near duplicates: one with the smallest id, rows without an id last.
+
+    Where ids are missing or repeat, the rows are numbered in the order of their ids and the numbers decide.
+    """
+    row = key
+    if not docs.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).isEmpty():
+        row = "__row"
+        docs = stored(docs.orderBy(F.col(key).asc_nulls_last(), F.xxhash64(text)).withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    gone = stored(near_duplicates(docs, size, percent, text, row).where("not kept").select(F.col("doc_id").alias(row)), "near-gone")
+    out = without_ids(docs, row, gone)
+    return out if row == key else out.drop(row)

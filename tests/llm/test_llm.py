@@ -251,6 +251,20 @@ def test_decontamination_finds_long_insertions_and_excerpts(spark):
         assert round(x["score"] * 2 * len(item)) == _brute_score(item, out[x["doc_id"]])
 
 
+def test_removal_is_by_row(spark):
+    r = random.Random(10)
+    a, b, c, item = (prose(r, 40) for _ in range(4))
+    rows = [(7, a), (7, b), (3, b), (5, c), (5, c), (None, c), (None, item), (None, item), (9, None), (9, "")]
+    df = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = near_dedup.deduplicate(df)
+    assert kept.columns == df.columns
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+    assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=order) == sorted([(7, a), (3, b), (5, c), (None, item), (9, None), (9, "")], key=order)
+    left = decontam.decontaminate(df.union(frame(spark, [item], [3])), spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert left.columns == df.columns
+    assert sorted(((x["doc_id"], x["text"]) for x in left.collect()), key=order) == sorted([x for x in rows if x[1] != item], key=order)
+
+
 def test_pipeline_on_a_small_fixture(spark, texts, tmp_path):
     frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
