@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,17 +14,20 @@ from proseworks.session import ship
 
 #: Id lists up to this many rows (8 bytes each, 32 MB) may be broadcast after they have been counted.
 BROADCAST_IDS = 4_000_000
-#: Edges that one task contracts at once.
-EDGES = 200_000
+#: Edges that one task contracts at once (about 100 bytes each while it does).
+EDGES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a folder of our own is set.
+    Where none is named, a session on one machine (tests) gets a folder of its own; a cluster is an error, since
+    its machines share no temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="proseworks-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -38,7 +42,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files behind frames that ``stored`` returned, once nothing reads them any more."""
+    for df in frames:
+        path = getattr(df, "_stored_path", None)
+        if path:
+            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,42 +79,52 @@ def with_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return df.join(ids, key, "left_semi")
 
 
-def _forest(batches):
-    """Edges of one partition as stars around the smallest node of each of its components."""
-    over: dict[int, int] = {}
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node reachable from it) of the nodes of the edges ``a``-``b``."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    over = np.arange(len(nodes))
+    while True:
+        least = np.minimum(over[a], over[b])
+        new = over.copy()
+        for end in (a, b):  # hang the root of either end on the smaller one
+            np.minimum.at(new, over[end], least)
+        while (new != (short := new[new])).any():
+            new = short
+        if (new == over).all():
+            return nodes, nodes[over]
+        over = new
 
-    def root(x: int) -> int:
-        while over.setdefault(x, x) != x:
-            over[x] = over[over[x]]
-            x = over[x]
-        return x
 
-    for batch in batches:
-        for x, y in zip(*(c.to_pylist() for c in batch.columns)):
-            p, q = root(x), root(y)
-            over[max(p, q)] = min(p, q)
-    nodes = list(over)
-    for i in range(0, len(nodes), 100_000):
-        some = nodes[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], ["hi", "lo"])
+def _forest(batches):
+    """Edges of one partition as stars around the smallest node of each of its components."""
+    parts = [tuple(c.to_numpy() for c in batch.columns) for batch in batches]
+    if parts:
+        hi, lo = contracted(*(np.concatenate(c) for c in zip(*parts)))
+        for i in range(0, len(hi), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(hi[i : i + 100_000]), pa.array(lo[i : i + 100_000])], ["hi", "lo"])
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 40, ready: bool = False) -> DataFrame:
     """Connected components of ``edges`` (a, b) as rows (node, component); the smallest node names it.
 
     Partitions of at most about ``EDGES`` edges first contract their own. Then alternates the two star contractions of the published MapReduce algorithm: each round hangs
     every larger neighbour, then every smaller one, on the smallest node in sight. Rounds grow
     with the logarithm of the longest path. Nothing but two numbers a round reaches the driver;
     a node with very many neighbours costs a skewed equi-join, which adaptive execution splits.
-    Nodes that appear only in loops (a = b) or not at all are not returned.
+    Nodes that appear only in loops (a = b) or not at all are not returned. ``ready``: the edges are stored already.
     """
     ship(edges.sparkSession)
     edges = edges.toDF("a", "b").where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-    edges = stored(edges, "edges")
+    edges = edges if ready else stored(edges, "edges")
     parts = max(1, -(-edges.count() // EDGES))
     links = stored(edges.coalesce(parts).mapInArrow(_forest, "hi long, lo long"), "links")
+    if not ready:
+        discard(edges)
     if parts == 1:  # one partition held all edges, so its stars are the components
-        return links.toDF("node", "component")
+        out = links.toDF("node", "component")
+        out._stored_path = links._stored_path
+        return out
     links, before = links.where("hi <> lo"), None
     for _ in range(max_rounds):
         both = links.union(links.select("lo", "hi")).toDF("u", "v")
@@ -110,7 +136,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             .union(least_lo)
             .distinct()
         )
-        links = stored(small, "links")
+        previous, links = links, stored(small, "links")
+        discard(previous)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _rng = np.random.default_rng(20240229)
 _VALUES = _rng.integers(1 << 32, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -139,3 +139,33 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables that hold whole runs of equal ``key``, many at a time, and where each run begins (and the last one ends).
+
+    The batches come sorted by the key; a run that a batch leaves open is carried into the next table.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        if held and held[-1].column(held[-1].schema.get_field_index(key))[-1].as_py() == keys[-1]:
+            held.append(batch)
+            continue
+        other = np.flatnonzero(keys != keys[-1])
+        last = int(other[-1]) + 1 if len(other) else 0  # where the run begins that may go on
+        held.append(batch.slice(0, last))
+        table = pa.Table.from_batches(held)
+        if table.num_rows:
+            yield table, _cuts(table, key)
+        held = [batch.slice(last)]
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, _cuts(table, key)
+
+
+def _cuts(table: pa.Table, key: str) -> np.ndarray:
+    keys = table.column(key).to_numpy()
+    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
