@@ -460,9 +460,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     discard(*edges)
     linked = _links(docs, items, groups, size, percent, most, text, key)
     named = items.select("set_hash", "item", "id").join(linked, F.col("item") == F.col("node"), "left").select("set_hash", "id", "component")
-    least = named.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
-    named = stored(named.join(least, "component", "left").select("set_hash", F.coalesce("least", "id").alias("least")), "near-named")
-    discard(groups, linked, items)
+    least = stored(named.where("component is not null").groupBy("component").agg(F.min("id").alias("least")), "near-least")
+    few = least.count() <= BROADCAST_IDS  # else the join by component is skewed, and adaptive execution splits it
+    named = stored(named.join(F.broadcast(least) if few else least, "component", "left").select("set_hash", F.coalesce("least", "id").alias("least")), "near-named")
+    discard(groups, linked, items, least)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return slim.join(named, "set_hash", "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
