@@ -103,7 +103,7 @@ def shingles(word_hash: np.ndarray, row: np.ndarray, rows: int, size: int) -> tu
     """(hash, row) of each run of ``size`` words; a row with fewer words gives its whole sequence."""
     n = len(word_hash)
     count = np.bincount(row, minlength=rows)
-    salt = [np.uint64((0xA0761D6478BD642F * (2 * j + 3)) % (1 << 64) | 1) for j in range(size)]
+    salt = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)  # unrelated factors, else runs of the same words in other orders meet
     whole = max(0, n - size + 1)
     h = np.zeros(whole, np.uint64)
     for j in range(size):
