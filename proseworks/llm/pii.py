@@ -2,15 +2,16 @@
 
 Strict patterns find e-mail and IP addresses, card and phone numbers, each kind leftmost and
 without overlaps; their findings stay. Beside them high-recall generators propose spans that may
-overlap one another (spaced or spelt-out addresses, national phone numbers, groups of digits, IPv6). Boosted
+overlap one another (spaced or spelt-out addresses, national phone numbers, groups of digits, IPv6, and keys and
+passwords given a value: the kind ``secret``, which has a column of its own). Boosted
 trees see the format of a candidate and the words around it; a threshold for each kind, calibrated
 for precision on a part of the examples kept out of the fit, selects the additions. Candidates that overlap a
 strict finding are dropped, and of overlapping additions the most probable stays.
 
-The trees are trained here, on examples made by a fixed rule (formats of each kind and look-alikes such as
-dates, versions, prices and order numbers), so they do not depend on the input or its size.
+The trees are trained and their thresholds calibrated here, on examples made by a fixed rule (formats of each kind and look-alikes
+such as dates, versions, prices and order numbers), so they do not depend on the input or its size; no table has labels of personal data.
 
-Offsets count code points; ends are exclusive. Every text is read whole, in time linear in its length.
+Offsets count code points; ends are exclusive. Every text is read whole, in time n log n in its findings and linear in its length.
 Defined cases: null and empty texts have no spans; other columns are kept; rows that repeat are judged each.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import functools
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proseworks.llm import textvec
 from proseworks.session import ship
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
+#: Bytes of text that a worker holds with its findings.
+HELD = 4 << 20
 Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -85,6 +91,7 @@ _GENERATORS = {
     "ip": re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[\x20./-]{0,2}[0-9]){12,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9A-Za-z])[(+]{0,2}[0-9](?:[\x20()./-]{0,3}[0-9]){6,14}(?![0-9A-Za-z])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_]{2,24}[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?([A-Za-z0-9_/+-]{16,128})(?![A-Za-z0-9_/+-])"),
 }
 #: Words that speak for a kind, fixed values.
 _CUES = {
@@ -92,10 +99,11 @@ _CUES = {
     "ip": ("ip", "host", "server", "address", "addr"),
     "card": ("card", "visa", "credit", "payment", "mastercard"),
     "phone": ("tel", "phone", "call", "mobile", "fax", "cell"),
+    "secret": ("token", "key", "secret", "password", "passwd", "apikey", "credential", "auth"),
 }
 #: Words that speak against personal data, fixed values.
 _AGAINST = ("version", "order", "isbn", "invoice", "page", "date", "price", "total", "section", "id", "at", "release")
-_WORDS = re.compile(r"[a-z][a-z-]*")
+_WORDS = re.compile(r"[a-z][a-z_-]*")
 _REACH = 24
 
 
@@ -105,9 +113,25 @@ def candidates(text: str) -> list[Span]:
         out += [("email", m.start(), m.end()) for m in _GENERATORS["email"].finditer(text)]
     if _DIGIT.search(text):
         out += [(k, m.start(), m.end()) for k in ("ip", "card", "phone") if k != "ip" or ":" in text for m in _GENERATORS[k].finditer(text)]
+    if "=" in text or ":" in text:
+        out += [("secret", m.start(1), m.end(1)) for m in _GENERATORS["secret"].finditer(text)]
     return out
 
 
+class _Taken:
+    """Whether a span overlaps any of those given."""
+
+    def __init__(self, spans: list[Span]):
+        self.start, self.reach = [], []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            self.start.append(a)
+            self.reach.append(max(b, self.reach[-1]) if self.reach else b)
+
+    def __contains__(self, span: Span) -> bool:
+        k = bisect_left(self.start, span[2])
+        return k > 0 and self.reach[k - 1] > span[1]
+
+
 def features(text: str, span: Span) -> list[float]:
     """Format and context of one candidate."""
     kind, start, end = span
@@ -117,15 +141,17 @@ def features(text: str, span: Span) -> list[float]:
     before = _WORDS.findall(text[max(0, start - _REACH) : start].lower())
     after = _WORDS.findall(text[end : end + _REACH].lower())
     near = before[-3:] + after[:1]
+    if kind == "secret":  # the name that the value is given to
+        near = [w for x in near for w in (x, *re.split("[-_]", x))]
     last = text[start - 1 : start]
     following = text[end : end + 1]
     return [
-        float(KINDS.index(kind)), len(s), len(digits), len(runs), max(runs, default=0), min(runs, default=0), runs[0] if runs else 0, runs[-1] if runs else 0,
+        float(ALL_KINDS.index(kind)), len(s), len(digits), len(runs), max(runs, default=0), min(runs, default=0), runs[0] if runs else 0, runs[-1] if runs else 0,
         s.count(" "), s.count("-"), s.count("."), s.count("/"), s.count(":"), s.count("(") + s.count("["), float(s[:1] == "+" or s[:2] == "(+"), float(s[:1] == "("),
         float("@" in s), float(bool(re.search(r"[\[({ ]at[\])} ]", s, re.I))), float(bool(re.search(r"[\[({ ]dot[\])} ]", s, re.I))), float(bool(re.search(r"[\[({] ?(?:at|dot)", s, re.I))),
         float(len(digits) >= 13 and luhn(digits)), float(digits[:1] in ("3", "4", "5", "6")), float(runs == [3, 3, 4] or runs == [3, 4]), float(digits[:2] in ("19", "20")),
         float(any(w in _CUES[kind] for w in near)), float(any(w in _AGAINST for w in near)), float(last.isalnum() or last in "$€#_=/"), float(following.isalnum() or following in "%_/="),
-        float(bool(re.search(r"\.(?:com|org|net|edu|io|de|fr|es|uk)$|dot\W{0,2}(?:com|org|net|edu|io|de|fr|es|uk)$", s, re.I))), sum(c in "abcdefABCDEF" for c in s),
+        float(bool(re.search(r"\.(?:com|org|net|edu|io|de|fr|es|uk)$|dot\W{0,2}(?:com|org|net|edu|io|de|fr|es|uk)$", s, re.I))), sum(c in "abcdefABCDEF" for c in s), len(set(s)) / len(s), sum(c.isalpha() for c in s),
     ]
 
 
@@ -211,18 +237,28 @@ def examples(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
     def ip6() -> str:
         return ":".join("%x" % r.randrange(65536) for _ in range(8))
 
-    good = {"phone": phone, "email": mail, "card": card, "ip": ip6}
+    mixed = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(k))
+    hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+
+    def secret() -> str:
+        value = r.choice((lambda: hexa(r.choice((32, 40, 64))), lambda: mixed(r.randint(20, 48)), lambda: "AK" + mixed(18).upper()))()
+        quote = r.choice(('"', "'", ""))
+        return f"{r.choice(('', 'api_', 'my_', 'access_'))}{r.choice(_CUES['secret'])}{r.choice((' = ', '=', ': '))}{quote}{value}{quote}"
+
+    good = {"phone": phone, "email": mail, "card": card, "ip": ip6, "secret": secret}
     bad = (
         lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(1, 28):02}/{r.randint(1, 12):02}/{r.randint(1900, 2030)}",
         lambda: f"{r.randint(1900, 2030)}-{r.randint(1900, 2030)}", lambda: f"{r.randint(0, 23):02}:{r.randint(0, 59):02}:{r.randint(0, 59):02}:{r.randint(0, 99):02}", lambda: num(r.randint(7, 19)),
         lambda: f"{num(3)}.{num(3)}.{num(3)}", lambda: f"{r.randint(1, 20)}.{r.randint(0, 40)}.{r.randint(0, 999)}.{num(r.randint(1, 5))}", lambda: f"{word()} at {word()}. {word()}", lambda: f"{word()} at {word()}. {word()}",
         lambda: f"{word()} at the {word()}.{word()}", lambda: f"97{r.choice('89')}-{num(1)}-{num(4)}-{num(4)}-{num(1)}", lambda: f"{num(4)} {num(4)} {num(4)} {num(r.randint(1, 4))}", lambda: " ".join(num(r.randint(1, 3)) for _ in range(r.randint(4, 9))),
         lambda: f"{word()} @ {word()}. {word()}", lambda: f"{num(2)}-{num(7)}", lambda: f"{num(8)}", lambda: f"{num(5)}-{num(5)}",
+        lambda: f"{r.choice(('checksum', 'commit', 'digest', 'file', 'name'))}{r.choice((' = ', ': '))}{r.choice((hexa(40), hexa(64), word() + '-' + word() + '-' + word() + '-' + word()))}",
+        lambda: f"{r.choice(_CUES['secret'])}: {'_'.join(word() for _ in range(5))}",
     )
     out = []
     for _ in range(n):
         yes = r.random() < 0.4
-        kind = r.choice(KINDS)
+        kind = r.choice(ALL_KINDS)
         s = good[kind]() if yes else r.choice(bad)()
         cue = r.choice(_CUES[kind]) if r.random() < (0.4 if yes else 0.05) else r.choice(_AGAINST) if r.random() < (0.02 if yes else 0.3) else word()
         text = f"{word()} {word()} {cue}{r.choice((' ', ': ', ' is '))}{s}{r.choice((' ', '. ', ', ', ''))}{word() if r.random() < 0.9 else ''}"
@@ -241,9 +277,9 @@ def model(precision: float = 0.98) -> Model:
     """The trees, and for each kind the lowest threshold that keeps ``precision`` on the examples not fitted."""
     x, y, kind = [], [], []
     for text, yes in examples():
-        base = base_spans(text)
+        base = _Taken(base_spans(text))
         for span in candidates(text):
-            if not any(span[1] < e and s < span[2] for _, s, e in base):
+            if span not in base:
                 x.append(features(text, span))
                 y.append(yes)
                 kind.append(span[0])
@@ -252,7 +288,7 @@ def model(precision: float = 0.98) -> Model:
     trees = boost(x[~aside], y[~aside])
     raw = trees.raw(x[aside])
     cuts = {}
-    for k in KINDS:
+    for k in ALL_KINDS:
         own = np.flatnonzero(kind[aside] == k)
         own = own[np.argsort(-raw[own], kind="stable")]
         right = np.cumsum(y[aside][own]) / np.arange(1, len(own) + 1)
@@ -263,14 +299,20 @@ def model(precision: float = 0.98) -> Model:
 
 def added_spans(text: str, base: list[Span], fitted: Model) -> list[Span]:
     """Candidates that the trees select, none of which overlaps another or a strict finding."""
-    free = [c for c in candidates(text) if not any(c[1] < e and s < c[2] for _, s, e in base)]
+    taken = _Taken(base)
+    free = [c for c in candidates(text) if c not in taken]
     if not free:
         return []
-    raw = fitted.trees.raw(np.array([features(text, c) for c in free]))
+    raw = np.concatenate([fitted.trees.raw(np.array([features(text, c) for c in free[i : i + 4096]])) for i in range(0, len(free), 4096)])
+    starts: list[int] = []  # of the selected, which do not overlap
     out: list[Span] = []
     for score, c in sorted(zip(raw, free), key=lambda x: (-x[0], x[1])):
-        if score >= fitted.cuts[c[0]] and not any(c[1] < e and s < c[2] for _, s, e in out):
-            out.append(c)
+        if score >= fitted.cuts[c[0]]:
+            k = bisect_left(starts, c[2])  # only the last one that begins before its end can reach it
+            if not k or out[k - 1][2] <= c[1]:
+                at = bisect_left(starts, c[1])
+                starts.insert(at, c[1])
+                out.insert(at, c)
     return out
 
 
@@ -278,7 +320,7 @@ def find(text: str | None, fitted: Model) -> tuple[list[Span], list[Span]]:
     """(strict findings, all findings), both by kind, then start."""
     base = base_spans(text)
     more = added_spans(text, base, fitted) if text else []
-    return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1])) if more else base
+    return base, sorted(base + more, key=lambda s: (ALL_KINDS.index(s[0]), s[1])) if more else base
 
 
 def written(spans: list[Span]) -> str:
@@ -298,30 +340,34 @@ def redacted(text: str | None, spans: list[Span]) -> str | None:
 
 
 def spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all) of ``docs`` with base and spans (both as kind:start:end, comma-joined)
-    and redacted (the text without personal data). Columns of these names are replaced."""
+    """The columns ``keep`` (all) of ``docs`` with base, spans and secrets (each as kind:start:end, comma-joined; spans
+    holds the four kinds) and redacted (the text without any of them). Columns of these names are replaced."""
     return _scan(docs, text, keep, True)
 
 
 def _scan(docs: DataFrame, text: str, keep: list[str] | None, texts: bool) -> DataFrame:
     ship(docs.sparkSession)
-    new = ["base", "spans", *["redacted"] * texts]
+    new = ["base", "spans", "secrets", *["redacted"] * texts]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
     slim = docs.select(*kept, F.col(text).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model())  # some thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for batch in batches:
-            out: list[list] = [[] for _ in new]
-            for value in batch.column(len(kept)):
-                t = value.as_py()
-                base, found = find(t, fitted)
-                out[0].append(written(base))
-                out[1].append(written(found))
-                if texts:
-                    out[2].append(redacted(t, found))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(c, pa.string()) for c in out)], [*kept, *new])
+        for whole in batches:
+            for i, j, *_ in textvec.chunks(whole.column(len(kept)), HELD):
+                batch = whole.slice(i, j - i)
+                out: list[list] = [[] for _ in new]
+                for value in batch.column(len(kept)):
+                    t = value.as_py()
+                    base, found = find(t, fitted)
+                    personal = [s for s in found if s[0] != "secret"]
+                    out[0].append(written(base))
+                    out[1].append(written(personal))
+                    out[2].append(written(found[len(personal) :]))
+                    if texts:
+                        out[3].append(redacted(t, found))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(c, pa.string()) for c in out)], [*kept, *new])
 
     schema = slim.select(*kept).schema
     for c in new:
@@ -335,6 +381,11 @@ def found(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with personal data replaced in ``text``; same columns."""
-    found = _scan(docs, text, None, True)
-    return found.select(*[F.col("redacted").alias(text) if c == text else F.col(c) for c in docs.columns])
+    """``docs`` with personal data and secrets replaced in ``text``; same columns.
+
+    A row travels as one struct beside its text, so columns of any name stay what they are.
+    """
+    rest = [c for c in docs.columns if c != text]
+    slim = docs.select(F.struct(F.lit(0).alias("__none"), *rest).alias("row"), F.col(text).alias("text"))
+    found = _scan(slim, "text", ["row"], True)
+    return found.select(*[F.col("redacted").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

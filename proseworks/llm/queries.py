@@ -43,7 +43,8 @@ def op5_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
 def op6_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.found(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     count = lambda kind: F.regexp_count("base", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+    every = lambda c: F.regexp_count(c, F.lit("[a-z]+:")).cast("long")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans", "secrets", (every("spans") + every("secrets")).alias("n_found"))
 
 
 #: The rules of the registered query, fixed values: host, path, action.
