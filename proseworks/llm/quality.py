@@ -8,7 +8,7 @@ always), and then maximises the chain's conditional likelihood of those line lab
 is the mean of the forward-backward marginals of its lines, weighted by their bytes, passed
 through a calibrating logistic function.
 
-The sample is bounded: ``per_class`` documents of each class, ``max_chars`` characters of each.
+The sample is bounded by rows: ``per_class`` documents of each class, their texts whole.
 Scoring reads whole texts.
 
 Defined cases: texts that are null, empty or blank score 0; without labels of both classes every
@@ -31,7 +31,6 @@ from proseworks.llm import textvec
 from proseworks.llm.labelled import labelled_sample, logistic
 from proseworks.session import ship
 
-TRAIN_LINES = 64
 _CLASSES = ("upper", "lower", "digit", "white", "other", "mark", "stop", "bar", "far")
 _CLASS = np.full(256, _CLASSES.index("other"), np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = (_CLASSES.index(c) for c in ("upper", "lower", "digit", "far"))
@@ -186,20 +185,17 @@ def train(sample: list[tuple[str, int]], counts: dict[int, int]) -> Model:
     seen = np.bincount(row, minlength=len(sample)) > 0
     if len(set(label[seen])) < 2:
         return model
-    nth = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = nth < TRAIN_LINES
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     wide = _neighbours(((x - model.mean) / model.scale).clip(-6, 6), row)
-    own = wide[keep][:, : x.shape[1]]
-    target = label[row[keep]]
+    own = wide[:, : x.shape[1]]
+    target = label[row]
     w = logistic(own, target.astype(float), ridge=1.0, rounds=25)
     good = own @ w[:-1] + w[-1] - math.log(max((target == 1).sum(), 1) / max((target == 0).sum(), 1)) > 0
     y = np.where((target == 0) & good, 1, target)
-    kept_row = row[keep]
-    for r in set(kept_row[target == 0]) - set(kept_row[y == 0]):  # a bad text has a worst line
-        lines = np.flatnonzero(kept_row == r)
+    for r in set(row[target == 0]) - set(row[y == 0]):  # a bad text has a worst line
+        lines = np.arange(*np.searchsorted(row, [r, r + 1]))
         y[lines[np.argmin(own[lines] @ w[:-1])]] = 0
-    model.node, model.edge = _fit_chain(wide[keep], y, kept_row)
+    model.node, model.edge = _fit_chain(wide, y, row)
     mean = document_means(model, x, size, row, len(sample))[seen]
     shifted = math.log(n1 / n0 * (label[seen] == 0).sum() / (label[seen] == 1).sum())
     model.line = logistic(_logit(mean)[:, None], label[seen].astype(float), offset=shifted).tolist()
@@ -211,8 +207,8 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 4000, max_chars: int = 20_000, text: str = "text", key: str = "doc_id") -> Model:
-    return train(*labelled_sample(docs, labels, label, per_class, max_chars, text, key))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000, text: str = "text", key: str = "doc_id") -> Model:
+    return train(*labelled_sample(docs, labels, label, per_class, text, key))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:

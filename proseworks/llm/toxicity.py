@@ -1,14 +1,15 @@
 """Toxicity by compression distance: two zstandard dictionaries and calibrated thresholds.
 
 One dictionary is trained on ordinary texts, one on toxic texts (of these, the words that
-recur there and that ordinary texts of the sample lack). A window is one word between fixed marks that both
+recur there and that ordinary texts of the sample lack: trained on whole toxic texts and asked for windows of several words it
+finds two fifths of the toxic documents, see README). A window is one word between fixed marks that both
 dictionaries end with, so that only the word itself makes a difference. Its compressed length
 with either dictionary, together with the word's length, is its cell; how much oftener
 toxic than ordinary documents have a window in a cell, counted on the half of the
 sample that trained no dictionary, is the cell's weight. A document's score is a logistic
 function of its largest weights, its number of windows with a large one and its number of words.
 
-The sample is bounded: ``per_class`` documents of each class, ``max_chars`` characters of each.
+The sample is bounded by rows: ``per_class`` documents of each class, their texts whole.
 Scoring reads whole texts; equal windows are compressed once (at most ``CACHE`` remembered a task).
 
 Defined cases: null and empty texts have no windows and get the score of a text with none; without
@@ -56,16 +57,16 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples, k=32, d=8).as_bytes()
     except zstandard.ZstdError:  # too few samples: the samples themselves
-        return b"".join(samples)[-size:]
+        return b"".join(samples)
 
 
 def _telling(toxic: list[set[bytes]], ordinary: list[set[bytes]], common: set[bytes]) -> set[bytes]:
     """Words of toxic texts that recur there, whole or by a beginning that ordinary texts hardly have."""
     stems = lambda words: {w[:n] for w in words for n in range(STEM, len(w) + 1)}
     groups: dict[bytes, set[tuple[int, ...]]] = {}
-    for words in toxic:  # copies mostly share the smallest hash of their rare words, and so count once
+    for words in toxic:  # copies mostly share the smallest hashes of their words, and so count once
         rare = words - common
-        own = tuple(heapq.nsmallest(1, map(zlib.crc32, rare)) if len(rare) > 3 else heapq.nsmallest(4, map(zlib.crc32, words)))
+        own = tuple(heapq.nsmallest(4, map(zlib.crc32, words)))
         for x in stems(rare):
             groups.setdefault(x, set()).add(own)
     seen = {x: len(g) for x, g in groups.items() if len(g) >= RECUR}
@@ -102,7 +103,7 @@ class Scorer:
     def cell(self, word: bytes) -> tuple[int, int, int]:
         window = _MARK + b" " + word + _MARK
         a, b = (len(c.compress(window)) for c in self.two)
-        return min(a, 31), min(b, 31), min(len(word), 31)
+        return a, b, len(word)
 
     def features(self, text: str | None) -> list[float]:
         words = _words(text) if text else []
@@ -166,8 +167,8 @@ def train(sample: list[tuple[str, int]], counts: dict[int, int]) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 5000, max_chars: int = 20_000, text: str = "text", key: str = "doc_id") -> Model:
-    return train(*labelled_sample(docs, labels, label, per_class, max_chars, text, key))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 3000, text: str = "text", key: str = "doc_id") -> Model:
+    return train(*labelled_sample(docs, labels, label, per_class, text, key))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
