@@ -1,7 +1,7 @@
 """Sentences, tokens, readings and disambiguation: the stages from a text to an analysed sentence.
 
-The same functions serve batch and streaming: they work row by row over Arrow batches of texts. The lexicon
-that they need is collected once on the driver after its size has been checked, and broadcast.
+The same functions serve batch and streaming: they work row by row over Arrow batches of texts. The rules and the lexicon
+that they need come with the pack, which is broadcast once and built once in each worker.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 
 import regex
 
-from proseworks.operators.matching import BOUNDARY_TAGS, END_TAG, START_TAG, Position, keeps, pos_fits, unblocked
+from proseworks.operators.matching import END_TAG, START_TAG, Position, covered, keeps, match_at, pos_fits
 from proseworks.plans.ir import DisambigRule, Reading
 from proseworks.sources.srx import BreakRule
 
@@ -188,18 +188,24 @@ def lookup_stages(word: str) -> list[list[str]]:
     return stages
 
 
+#: Words whose readings a worker remembers at a time.
+REMEMBERED = 200_000
+
+
 class Lexicon:
     """Readings of forms; ``forms`` maps a form to its (lemma, tag) pairs in order, repeats kept."""
 
     def __init__(self, forms: dict[str, list[tuple[str, str]]]):
         self.forms = forms
+        self._known: dict[str, list[tuple[str, str]]] = {}
 
     def readings(self, word: str) -> list[tuple[str, str]]:
-        for keys in lookup_stages(word):
-            found = [r for k in keys for r in self.forms.get(k, ())]
-            if found:
-                return found
-        return []
+        out = self._known.get(word)
+        if out is None:
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            out = self._known[word] = next((found for keys in lookup_stages(word) if (found := [r for k in keys for r in self.forms.get(k, ())])), [])
+        return out
 
     def knows(self, word: str) -> bool:
         return bool(self.readings(word))
@@ -272,8 +278,6 @@ def disambiguate(sentence: list[Position], rules: Iterable[DisambigRule]) -> lis
         # Matches depend on readings that the rule itself rewrites, so they are looked for step by step.
         at, blocked = 0, None
         while at < len(sentence):
-            from proseworks.operators.matching import covered, match_at
-
             m = match_at(rule.pattern, sentence, at)
             if m is None:
                 at += 1
@@ -290,6 +294,3 @@ def disambiguate(sentence: list[Position], rules: Iterable[DisambigRule]) -> lis
                         p.readings = [r for r in p.readings if keeps(e, p, r)] or p.readings
             at = max(m.end, m.start + 1)
     return sentence
-
-
-__all__ = ["BOUNDARY_TAGS", "Lexicon", "Segmenter", "analyze", "disambiguate", "lookup_stages", "tokenize", "unblocked"]

@@ -75,7 +75,10 @@ def _reading_fits(spec: TokenSpec, position: Position, reading: tuple[str | None
 
 
 def _fits_any(spec: TokenSpec, position: Position) -> bool:
-    return any(_reading_fits(spec, position, r) for r in position.readings)
+    for r in position.readings:
+        if _reading_fits(spec, position, r):
+            return True
+    return False
 
 
 _NEIGHBOUR = {"previous": -1, "current": 0, "next": 1}
@@ -105,6 +108,11 @@ def match_at(pattern: PatternSpec, sentence: list[Position], start: int, known:
     if not tokens:
         return None
     known = {} if known is None else known
+    if tokens[0].min >= 1:  # most places end here, before any search is set up
+        if (0, start) not in known:
+            known[0, start] = start < n and fits(tokens[0], sentence, start)
+        if not known[0, start]:
+            return None
 
     def fit(e: int, i: int) -> bool:
         if (e, i) not in known:

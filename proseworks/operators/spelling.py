@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseworks.functions.text import is_mixed_case, is_spell_candidate
@@ -86,37 +86,46 @@ def _within(word: Column, other: Column, edits: int) -> Column:
     return ~far(word, other, 2) | F.exists(_swaps(word), lambda x: ~far(x, other, 1)) | F.exists(_swaps(other), lambda x: ~far(word, x, 1)) | F.arrays_overlap(_swaps(word), _swaps(other))
 
 
-def _near(words: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
-    """word, suggestion, freq: dictionary words within so many edits, whose letters are a-z, the word's own, or, if it begins with a capital, A-Z.
+#: Edits that suggestions may be away.
+EDITS = 2
+
+
+def _pairs(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """word, suggestion, freq, once each: dictionary words that may be within ``EDITS``; a word without any has one row of nulls.
 
     Two words within k edits have a string in common that k deletions make of each, so an equi-join on such strings
-    finds all pairs; dictionary words longer than ``LONG`` are found by their pieces. Pairs are then verified.
+    finds all pairs; dictionary words longer than ``LONG`` are found by their pieces. Words of as many letters share the
+    empty string, but there are few different ones.
     """
     n, none = F.length("word"), F.array().cast("array<string>")
     w, known_word = F.col("word"), F.col("suggestion")
-    asked_keys = F.concat(F.when(n <= LONG + edits, _without(w, edits)).otherwise(none), F.when(n > LONG - edits, _pieces(w, edits, True)).otherwise(none))
-    own = words.select("word").distinct().select("word", F.explode(asked_keys).alias("__key"))
+    asked_keys = F.concat(F.when(n <= LONG + EDITS, _without(w, EDITS)).otherwise(none), F.when(n > LONG - EDITS, _pieces(w, EDITS, True)).otherwise(none))
+    own = words.select("word", F.explode(asked_keys).alias("__key"))
     known = dictionary.select(F.col("word").alias("suggestion"), "freq").where(known_word.isNotNull())
-    known = known.select("suggestion", "freq", F.explode(F.when(F.length(known_word) <= LONG, _without(known_word, edits)).otherwise(_pieces(known_word, edits, False))).alias("__key"))
-    pairs = own.join(known, "__key").where("word <> suggestion").select("word", "suggestion", "freq").distinct()
-    word, other = F.col("word"), F.col("suggestion")
+    known = known.select("suggestion", "freq", F.explode(F.when(F.length(known_word) <= LONG, _without(known_word, EDITS)).otherwise(_pieces(known_word, EDITS, False))).alias("__key"))
+    return own.join(known, "__key", "left").select("word", "suggestion", "freq").distinct()
+
+
+def _edits(word: Column, other: Column) -> Column:
+    """1 or 2, or null if more edits lie between two different words; ``other`` has only letters a-z, the word's own, or, if that begins with a capital, A-Z."""
     drop = lambda c, letters: F.call_function("translate", c, letters, F.lit(""))
     strange = drop(drop(other, F.lit("abcdefghijklmnopqrstuvwxyz")), word)
     strange = F.when(word.rlike(r"\A\p{Lu}"), drop(strange, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).otherwise(strange)
-    return pairs.where(_within(word, other, edits) & (strange == ""))
+    return F.when((word != other) & (strange == ""), F.when(_within(word, other, 1), 1).when(_within(word, other, 2), 2))
 
 
-def suggestions(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+def suggestions(words: DataFrame, dictionary: DataFrame, every: bool = False) -> DataFrame:
     """word, suggestions: dictionary words one edit away, or two where none is, the most frequent first, at most ``MOST``.
 
-    ``dictionary`` has word, freq. Words without any suggestion have no row; repeated and null words count once and not at all.
+    ``dictionary`` has word, freq. Words without any suggestion have no row, or an empty list if ``every`` is set; repeated
+    and null words count once and not at all.
     """
-    words = words.select("word").where("word is not null").distinct()
-    first = _near(words, dictionary, 1)
-    second = _near(words.join(first.select("word").distinct(), "word", "left_anti"), dictionary, 2)
-    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("freq"), "suggestion"))
-    best = first.union(second).withColumn("rank", rank).where(F.col("rank") <= MOST)
-    return best.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "suggestion"))), lambda x: x["suggestion"]).alias("suggestions"))
+    pairs = _pairs(words.select("word").where("word is not null").distinct(), dictionary).withColumn("edits", _edits(F.col("word"), F.col("suggestion")))
+    order = F.struct("edits", (-F.coalesce("freq", F.lit(-1))).alias("rare"), "suggestion")
+    found = pairs.groupBy("word").agg(F.array_sort(F.collect_list(F.when(F.col("edits").isNotNull(), order))).alias("found"))
+    nearest = F.filter("found", lambda x: x["edits"] == F.col("found")[0]["edits"])
+    out = found.select("word", F.transform(F.slice(nearest, 1, MOST), lambda x: x["suggestion"]).alias("suggestions"))
+    return out if every else out.where(F.size("suggestions") > 0)
 
 
 def findings(tokens: DataFrame, dictionary: DataFrame, ignore: DataFrame, prohibit: DataFrame, sentence_ends: bool = False) -> DataFrame:
@@ -127,8 +136,7 @@ def findings(tokens: DataFrame, dictionary: DataFrame, ignore: DataFrame, prohib
     """
     used = tokens if sentence_ends else tokens.where("not is_end")
     bad = flagged(vocabulary(used).select("word"), dictionary, ignore, prohibit)
-    named = bad.join(suggestions(bad, dictionary), "word", "left")
-    return used.join(named, "word").select(
-        "doc_id", "sent_id", "offset", F.length("word").alias("length"), F.lit(MESSAGE).alias("message"), F.coalesce("suggestions", F.array().cast("array<string>")).alias("replacements"),
+    return used.join(suggestions(bad, dictionary, every=True), "word").select(
+        "doc_id", "sent_id", "offset", F.length("word").alias("length"), F.lit(MESSAGE).alias("message"), F.col("suggestions").alias("replacements"),
         F.lit(RULE_ID).alias("rule_id"), F.lit(CATEGORY).alias("category_id"), F.lit(AFTER_RULES).alias("rule_ord"), F.lit(0).alias("match_ord"),
     )

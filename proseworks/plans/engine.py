@@ -5,79 +5,144 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseworks.functions.text import context, issue_type
 from proseworks.operators import spelling
-from proseworks.operators.analysis import analyze, disambiguate, tokenize
+from proseworks.operators.analysis import analyze, disambiguate, is_space, tokenize
 from proseworks.operators.grammar import RuleIndex, check_sentence
 from proseworks.session import ship
 from proseworks.sources.pack import Pack
 
+#: Languages that can be asked for, fixed values: code and name.
+LANGUAGES = {"en-US": "English (US)", "en": "English"}
+VERSION = "0.2"
 FINDINGS = "doc_id long, sent_id int, offset int, length int, message string, replacements array<string>, rule_id string, category_id string, rule_ord int, match_ord int"
-_TOKENS = "doc_id long, sent_id int, offset int, word string, is_end boolean"
+_SENTENCES = "doc_id long, sent_id int, offset int, text string"
+_TOKENS = "doc_id long, sent_id int, offset int, word string, is_end boolean, space_before boolean"
 _DUMP = "doc_id long, line long, text string"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
-class Engine:
+#: Findings, tokens or lines that a worker holds before it hands them on.
+HELD = 20_000
+
+
+class _Built:
+    """What a pack becomes in a worker, once for all its tasks."""
+
     def __init__(self, pack: Pack):
         self.pack = pack
+        self.segmenter, self.lexicon, self.synthesizer = pack.segmenter(), pack.lexicon(), pack.synthesizer()
+        self.indexes: dict[bool, RuleIndex] = {}
+
+    def index(self, picky: bool) -> RuleIndex:
+        if picky not in self.indexes:
+            self.indexes[picky] = RuleIndex(r for r in self.pack.grammar if r.runs(picky))
+        return self.indexes[picky]
 
-    def _sentences(self, state, text: str):
-        segmenter, lexicon = state
+    def sentences(self, text: str):
+        """(number, offset, text, analysed and disambiguated positions) of each sentence."""
         base = 0
-        for n, sentence in enumerate(segmenter.sentences(text)):
-            yield n, base, sentence, disambiguate(analyze(sentence, lexicon), self.pack.disambiguation)
+        for n, sentence in enumerate(self.segmenter.sentences(text)):
+            yield n, base, sentence, disambiguate(analyze(sentence, self.lexicon), self.pack.disambiguation)
             base += len(sentence)
 
-    def check(self, docs: DataFrame, text: str = "text", key: str = "doc_id", picky: bool = False) -> DataFrame:
-        """Grammar findings, those inside a larger one of the same sentence left out; null texts have none."""
-        ship(docs.sparkSession)
-        engine = self
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pack = engine.pack
-            state, synthesizer = (pack.segmenter(), pack.lexicon()), pack.synthesizer()
-            index = RuleIndex(r for r in pack.grammar if r.runs(picky))
-            for batch in batches:
-                rows = []
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for n, base, _, sentence in engine._sentences(state, t or ""):
-                        rows += [(i, n, f.offset, f.length, f.message, list(f.replacements), f.rule_id, f.category_id, f.rule, f.nth) for f in check_sentence(index, sentence, base, synthesizer)]
-                if rows:
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in FINDINGS.split(", ")])
+_built: dict[int, _Built] = {}
 
-        return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, FINDINGS)
 
-    def tokens(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-        """doc_id, sent_id, offset, word, is_end: the tokens that are not white space; null texts have none."""
+def _state(shared) -> _Built:
+    pack = shared.value  # the same object for all tasks of a worker
+    if id(pack) not in _built:
+        _built.clear()
+        _built[id(pack)] = _Built(pack)
+    return _built[id(pack)]
+
+
+def _spread(docs: DataFrame) -> DataFrame:
+    """A table of few, large row groups is dealt out, since checking a text costs far more than moving it."""
+    if docs.isStreaming:
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(2 * cores)
+
+
+class Engine:
+    """A pack's rules over documents. The pack is broadcast; rules and dictionaries of any language are a few MB to a few dozen."""
+
+    def __init__(self, pack: Pack):
+        self.pack = pack
+
+    def _per_text(self, docs: DataFrame, text: str, key: str, schema: str, rows_of) -> DataFrame:
+        """Rows that ``rows_of(built, id, text)`` yields for each document."""
         ship(docs.sparkSession)
-        engine = self
+        shared = docs.sparkSession.sparkContext.broadcast(self.pack)
+        fields = [f.split(" ") for f in schema.split(", ")]
+        kinds = [_KINDS[k] for _, k in fields]
+        names = [n for n, _ in fields]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            segmenter, lexicon = engine.pack.segmenter(), engine.pack.lexicon()
+            built = _state(shared)
+            rows: list[tuple] = []
             for batch in batches:
-                rows = []
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    base = 0
-                    for n, sentence in enumerate(segmenter.sentences(t or "")):
-                        at, own = base, []
-                        for token in tokenize(sentence, lexicon.knows):
-                            if not token.isspace():
-                                own.append((i, n, at, token))
-                            at += len(token)
-                        rows += [(*x, k == len(own) - 1) for k, x in enumerate(own)]
-                        base += len(sentence)
-                if rows:
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in _TOKENS.split(", ")])
-
-        return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _TOKENS)
+                for i, t in zip(batch.column(0), batch.column(1)):
+                    rows.extend(rows_of(built, i.as_py(), t.as_py() or ""))
+                    if len(rows) >= HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+        return _spread(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, schema)
+
+    def check(self, docs: DataFrame, text: str = "text", key: str = "doc_id", picky: bool = False) -> DataFrame:
+        """Grammar findings, those inside a larger one of the same sentence left out; null texts have none."""
+
+        def rows(built: _Built, i: int, t: str):
+            for n, base, _, sentence in built.sentences(t):
+                for f in check_sentence(built.index(picky), sentence, base, built.synthesizer):
+                    yield i, n, f.offset, f.length, f.message, list(f.replacements), f.rule_id, f.category_id, f.rule, f.nth
+
+        return self._per_text(docs, text, key, FINDINGS, rows)
+
+    def sentences(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+        """doc_id, sent_id, offset, text: joined, a document's sentences are its text; null texts have none."""
+
+        def rows(built: _Built, i: int, t: str):
+            base = 0
+            for n, sentence in enumerate(built.segmenter.sentences(t)):
+                yield i, n, base, sentence
+                base += len(sentence)
+
+        return self._per_text(docs, text, key, _SENTENCES, rows)
+
+    def tokens(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+        """doc_id, sent_id, offset, word, is_end, space_before: the tokens that are not white space; null texts have none."""
+
+        def rows(built: _Built, i: int, t: str):
+            base = 0
+            for n, sentence in enumerate(built.segmenter.sentences(t)):
+                at, own, space = base, [], False
+                for token in tokenize(sentence, built.lexicon.knows):
+                    if is_space(token):
+                        space = True
+                    else:
+                        own.append((i, n, at, token, space))
+                        space = False
+                    at += len(token)
+                for k, x in enumerate(own):
+                    yield *x[:4], k == len(own) - 1, x[4]
+                base += len(sentence)
+
+        return self._per_text(docs, text, key, _TOKENS, rows)
 
     def check_all(self, docs: DataFrame, dictionary: DataFrame, text: str = "text", key: str = "doc_id", picky: bool = False, sentence_ends: bool = False) -> DataFrame:
-        """Grammar findings and those of spelling, which overlaps do not concern. ``dictionary``: word, freq."""
+        """Grammar findings and those of spelling, which overlaps do not concern. ``dictionary``: word, freq.
+
+        ``ordered`` puts them in the order of an answer.
+        """
         spark = docs.sparkSession
         words = lambda w: spark.createDataFrame([(x,) for x in w], "word string")
         spelled = spelling.findings(self.tokens(docs, text, key), dictionary, words(self.pack.ignore), words(self.pack.prohibit), sentence_ends)
@@ -85,24 +150,23 @@ class Engine:
 
     def dump(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """The analysed sentences as lines: SENT|text, then TOK|surface|lemma/tag#..., the sign of the empty set for nulls."""
-        ship(docs.sparkSession)
-        engine = self
         shown = lambda s: s.replace("\n", "\\n").replace("\t", "\\t")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            state = engine.pack.segmenter(), engine.pack.lexicon()
-            for batch in batches:
-                rows = []
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    lines = []
-                    for _, _, raw, sentence in engine._sentences(state, t or ""):
-                        lines.append(f"SENT|{shown(raw)}")
-                        lines += [f"TOK|{shown(p.token)}|" + "#".join(f"{'∅' if a is None else shown(a)}/{b or '∅'}" for a, b in p.readings) for p in sentence]
-                    rows += [(i, k, x) for k, x in enumerate(lines)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], ["doc_id", "line", "text"])
+        def rows(built: _Built, i: int, t: str):
+            line = 0
+            for _, _, raw, sentence in built.sentences(t):
+                yield i, line, f"SENT|{shown(raw)}"
+                for k, p in enumerate(sentence, line + 1):
+                    yield i, k, f"TOK|{shown(p.token)}|" + "#".join(f"{'∅' if a is None else shown(a)}/{b or '∅'}" for a, b in p.readings)
+                line += len(sentence) + 1
 
-        return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _DUMP)
+        return self._per_text(docs, text, key, _DUMP, rows)
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    """Findings with ``nth``, their place in their document: by offset, the longest first, then grammar in rule order before spelling."""
+    place = Window.partitionBy("doc_id").orderBy("offset", F.desc("length"), "rule_ord", "match_ord", "rule_id")
+    return findings.withColumn("nth", F.row_number().over(place) - 1)
 
 
 def keep(findings: DataFrame, disabled_rules: str = "", disabled_categories: str = "") -> DataFrame:
@@ -111,24 +175,34 @@ def keep(findings: DataFrame, disabled_rules: str = "", disabled_categories: str
     return findings.where(~F.col("rule_id").isin(names(disabled_rules)) & ~F.col("category_id").isin(names(disabled_categories)))
 
 
-def response(findings: DataFrame, docs: DataFrame, language: str = "en-US") -> DataFrame:
-    """doc_id, json: the findings of each document in the form that a checking service answers with."""
+def response(findings: DataFrame, docs: DataFrame, sentences: DataFrame | None = None, language: str = "en-US", version: str = VERSION, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, json: a row for each document with its findings in the form that a checking service answers with.
+
+    ``sentences`` (of ``Engine.sentences``) gives each finding its sentence; without it the sentence is empty.
+    """
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("doc_text"))
+    if sentences is not None:
+        findings = findings.join(sentences.select("doc_id", "sent_id", F.col("text").alias("sentence")), ["doc_id", "sent_id"], "left")
+    else:
+        findings = findings.withColumn("sentence", F.lit(""))
     match = F.struct(
         "message", F.lit("").alias("shortMessage"), F.transform("replacements", lambda r: F.struct(r.alias("value"))).alias("replacements"), "offset", "length",
-        context(F.col("text"), F.col("offset"), F.col("length")).alias("context"), F.lit("").alias("sentence"),
+        context(F.col("doc_text"), F.col("offset"), F.col("length")).alias("context"), F.coalesce("sentence", F.lit("")).alias("sentence"),
         F.struct(F.col("rule_id").alias("id"), F.lit("").alias("description"), issue_type(F.col("category_id")).alias("issueType"), F.struct(F.col("category_id").alias("id"), F.col("category_id").alias("name")).alias("category")).alias("rule"),
     )
     order = F.struct("offset", (-F.col("length")).alias("l"), "rule_ord", "match_ord", match.alias("m"))
-    found = findings.join(docs.select("doc_id", "text"), "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("found"))
-    name = F.struct(F.lit("English (US)").alias("name"), F.lit(language).alias("code"))
-    body = F.struct(F.struct(F.lit("proseworks").alias("name"), F.lit(1).alias("apiVersion")).alias("software"), name.alias("language"), F.transform("found", lambda x: x["m"]).alias("matches"))
-    return found.select("doc_id", F.to_json(body).alias("json"))
+    found = findings.join(texts, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("found"))
+    kind = found.schema["found"].dataType
+    every = texts.select("doc_id").join(found, "doc_id", "left").withColumn("found", F.coalesce("found", F.array().cast(kind)))
+    software = F.struct(F.lit("proseworks").alias("name"), F.lit(version).alias("version"), F.lit(1).alias("apiVersion"), F.lit(False).alias("premium"), F.lit("").alias("status"))
+    named = [F.lit(LANGUAGES.get(language, language)).alias("name"), F.lit(language).alias("code")]
+    spoken = F.struct(*named, F.struct(*named).alias("detectedLanguage"))
+    body = F.struct(software.alias("software"), spoken.alias("language"), F.transform("found", lambda x: x["m"]).alias("matches"))
+    return every.select("doc_id", F.to_json(body).alias("json"))
 
 
 def outermost(spans: DataFrame, group: list[str], offset: str = "offset", length: str = "length") -> DataFrame:
     """Spans that lie inside no larger one of their group, in DataFrame functions: a running maximum of ends over distinct spans."""
-    from pyspark.sql import Window
-
     end: Column = F.col(offset) + F.col(length)
     distinct = spans.select(*group, offset, length).distinct()
     before = Window.partitionBy(*group).orderBy(F.col(offset), end.desc()).rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proseworks.operators.analysis import analyze, disambiguate
@@ -77,3 +77,38 @@ def parity(found: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     met = side(found, True, False).union(side(expected, False, True)).groupBy(*keys).agg(F.max("f").alias("f"), F.max("e").alias("e"))
     own = met.agg(F.count_if(F.col("f") & F.col("e")).alias("both"), F.count_if(~F.col("e")).alias("only_found"), F.count_if(~F.col("f")).alias("only_expected"))
     return own.select("*", _ratio(F.col("both"), F.col("both") + F.col("only_found")).alias("precision"), _ratio(F.col("both"), F.col("both") + F.col("only_expected")).alias("recall"))
+
+
+#: What the id of a rule says about its kind, fixed values; ids of none of these are hand-coded, unless a rule file defines them.
+SPELLING_IDS, LIST_IDS = "MORFOLOGIK_RULE|_SPELLER_RULE|SPELLING_RULE", "SIMPLE_REPLACE"
+
+
+def classified(fired: DataFrame, defined: DataFrame) -> DataFrame:
+    """``fired`` (rule_id, ...) with kind and tier: whether a rule file defines the rule (``defined``: rule_id), and else what its id says."""
+    own = defined.select("rule_id", F.lit(True).alias("__own")).distinct()
+    by_id = F.when(F.col("rule_id").rlike(SPELLING_IDS), "spelling").when(F.col("rule_id").rlike(LIST_IDS), "data-replace").otherwise("java")
+    out = fired.join(own, "rule_id", "left")
+    return out.withColumn("kind", F.when(F.col("__own"), "xml").otherwise("java")).withColumn("tier", F.when(F.col("__own"), "xml").otherwise(by_id)).drop("__own")
+
+
+def scope(findings: DataFrame, docs: DataFrame, samples: int = 2) -> DataFrame:
+    """lang, rule_id, category_id, hits, message, samples: of each rule that fired in a language its first message and first few texts.
+
+    First is by doc_id, then offset. Each task keeps ``samples`` texts of a rule, so nothing is collected that grows with its hits.
+    """
+    text = docs.select("doc_id", "lang", F.col("text").alias("__text"))
+    rows = findings.join(text, "doc_id").withColumn("sample", F.substring(F.col("__text"), F.col("offset") + 1, F.col("length")))
+    place = F.struct("doc_id", "offset", F.col("length"), "match_ord")
+    once = rows.select("lang", "rule_id", "category_id", "message", place.alias("place"), "sample")
+    of_doc = once.groupBy("lang", "rule_id", F.col("place.doc_id").alias("d")).agg(
+        F.count("*").alias("n"), F.first("category_id").alias("category_id"), F.slice(F.array_sort(F.collect_list(F.struct("place", "message", "sample"))), 1, samples).alias("some")
+    )  # a document's findings of one rule are bounded by its length
+    rank = F.row_number().over(Window.partitionBy("lang", "rule_id").orderBy("d"))
+    total = of_doc.groupBy("lang", "rule_id").agg(F.sum("n").alias("hits"), F.first("category_id").alias("category_id"))
+    first = of_doc.withColumn("k", rank).where(F.col("k") <= samples).groupBy("lang", "rule_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, samples).alias("some"))
+    return total.join(first, ["lang", "rule_id"]).select("lang", "rule_id", "category_id", "hits", F.col("some")[0]["message"].alias("message"), F.transform("some", lambda x: x["sample"]).alias("samples"))
+
+
+def failures(results: DataFrame, most: int = 25) -> DataFrame:
+    """The first examples, by rule, that did not pass: a report's samples."""
+    return results.where("not passed").orderBy("rule_ord", "example").limit(most)

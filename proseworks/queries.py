@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from proseworks.engine_queries import FINDINGS_SQL, WORD
 from proseworks.functions import text as T
-from proseworks.operators import spelling, synthesis
+from proseworks.operators import spelling, synthesis, tagging
 from proseworks.plans import reports
-from proseworks.plans.engine import Engine, keep, outermost, response
+from proseworks.plans.engine import Engine, keep, ordered, outermost, response
 from proseworks.sources.pack import builtin
 
-#: Characters of words with both apostrophes, fixed values in the notation that Java and RE2 share.
-WORD = r"±§©@€£¥$\p{L}\d\-\x{0300}-\x{036F}\x{00A8}°%‰‱&\x{FFFD}\x{00AD}\x{00AC}\x{FF0C}\x{FF1F}'’"
 TOKEN = f"[{WORD}]+|[^{WORD}]"
 _TOKEN_SQL = TOKEN.replace("'", "''")
 #: Words that occur at least so often, in lower case, make the corpus's own dictionary.
@@ -101,10 +100,17 @@ def spell_misspelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KNOWN = """(EXISTS (SELECT 1 FROM dict d WHERE d.word = {w}) OR regexp_matches({w}, '\\p{{N}}') OR (NOT (regexp_matches({w}, '\\p{{Ll}}')
  AND NOT regexp_matches({w}, '^\\p{{Lu}}([^\\p{{L}}]|\\p{{Ll}})*$') AND regexp_matches({w}, '[\\p{{Lu}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]')) AND EXISTS (SELECT 1 FROM dict d WHERE d.word = lower({w}))))"""
-_SPELL_SQL = f"""WITH {_VOCAB}, parts AS (SELECT word, unnest(string_split(word, '-')) AS part FROM vocab WHERE contains(word, '-')),
-hyph AS (SELECT word, bool_and(part <> '' AND (list_contains({list(_IGNORE)!r}, part) OR list_contains({list(_IGNORE)!r}, lower(part)) OR {_KNOWN.format(w='part')})) AS ok FROM parts GROUP BY word)
-SELECT word, n FROM vocab WHERE NOT list_contains({list(_IGNORE)!r}, word) AND NOT list_contains({list(_IGNORE)!r}, lower(word))
- AND (list_contains({list(_PROHIBIT)!r}, word) OR (NOT {_KNOWN.format(w='vocab.word')} AND word NOT IN (SELECT word FROM hyph WHERE ok)))"""
+
+
+def _bad_sql(vocab: str, ignore: list[str], prohibit: list[str]) -> str:
+    """CTEs up to bad (word): the misspelled words of the table ``vocab``."""
+    return f"""parts AS (SELECT word, unnest(string_split(word, '-')) AS part FROM {vocab} WHERE contains(word, '-')),
+hyph AS (SELECT word, bool_and(part <> '' AND (list_contains({ignore!r}, part) OR list_contains({ignore!r}, lower(part)) OR {_KNOWN.format(w='part')})) AS ok FROM parts GROUP BY word),
+bad AS (SELECT word FROM {vocab} WHERE NOT list_contains({ignore!r}, word) AND NOT list_contains({ignore!r}, lower(word))
+ AND (list_contains({prohibit!r}, word) OR (NOT {_KNOWN.format(w=vocab + '.word')} AND word NOT IN (SELECT word FROM hyph WHERE ok))))"""
+
+
+_SPELL_SQL = f"""WITH {_VOCAB}, {_bad_sql('vocab', list(_IGNORE), list(_PROHIBIT))} SELECT word, n FROM vocab WHERE word IN (SELECT word FROM bad)"""
 #: Misspellings that suggestions are asked for, fixed values.
 _ASKED = ("teh", "thhe", "adn", "ofr", "thatt", "wiht", "fo", "xandx", "hte", "ar", "qthqe", "whcihh", "ehtw", "zzzqqq")
 
@@ -120,7 +126,7 @@ found AS (SELECT a.word, d.word AS s, row_number() OVER (PARTITION BY a.word ORD
 SELECT word, string_agg(s, '|' ORDER BY k) AS suggestions FROM found WHERE k <= 8 GROUP BY word"""
 
 #: form, code and stem, fixed values.
-_CODES = [("walking", "Dwalk"[:1]), ("walked", "C"), ("went", "Ego"), ("cities", "Dy"), ("sheep", "A")]
+_CODES = [("walking", "D"), ("walked", "C"), ("went", "Ego"), ("cities", "Dy"), ("sheep", "A")]
 
 
 def suffix_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,16 +145,8 @@ def _lexicon(spark: SparkSession) -> DataFrame:
 
 def tag_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of the distinct words: by the form, and by its lower case too unless it is lower or mixed case; else, for capitals, by the capitalised form."""
-    w = F.col("word")
     words = _words(spark, sf_dir).where(r"word rlike '\\p{L}'").groupBy("word").agg(F.count("*").alias("n"))
-    both = (w != F.lower(w)) & ~T.is_mixed_case(w)
-    keys = F.concat(
-        F.array(F.struct(F.lit(0).alias("stage"), w.alias("form"))), F.when(both, F.array(F.struct(F.lit(0).alias("stage"), F.lower(w).alias("form")))).otherwise(F.array().cast("array<struct<stage:int,form:string>>")),
-        F.when(T.is_all_upper(w), F.array(F.struct(F.lit(1).alias("stage"), T.upper_first(F.lower(w)).alias("form")))).otherwise(F.array().cast("array<struct<stage:int,form:string>>")),
-    )
-    found = words.select("word", "n", F.explode(keys).alias("k")).select("word", "n", "k.*").join(F.broadcast(_lexicon(spark)), "form")
-    first = found.withColumn("first", F.min("stage").over(Window.partitionBy("word"))).where("stage = first")
-    return first.select("word", "n", "lemma", "pos")
+    return tagging.readings(words, _lexicon(spark)).select("word", "n", "lemma", "pos")
 
 
 def _forms_sql() -> str:
@@ -218,8 +216,24 @@ def check_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def check_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return response(Engine(builtin()).check(docs), docs)
+    """A document's whole answer, findings of grammar and spelling merged; documents without findings have an empty list."""
+    docs, engine = _docs(spark, sf_dir), Engine(builtin())
+    return response(engine.check_all(docs, spell_vocab_dict(spark, sf_dir)), docs, engine.sentences(docs))
+
+
+def answer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of grammar and spelling in the order of an answer."""
+    found = Engine(builtin()).check_all(_docs(spark, sf_dir), spell_vocab_dict(spark, sf_dir))
+    return ordered(found).select("doc_id", "nth", "offset", "length", "rule_id")
+
+
+def _answer_sql() -> str:
+    pack = builtin()
+    return f"""WITH {FINDINGS_SQL}, {_VOCAB}, used AS (SELECT doc_id, off, word FROM num WHERE k < m),
+asked AS (SELECT DISTINCT word FROM used WHERE regexp_matches(word, '\\p{{L}}') AND NOT contains(word, '@') AND NOT starts_with(word, '#') AND NOT starts_with(word, '$') AND NOT contains(lower(word), '://')
+ AND NOT starts_with(lower(word), 'www.') AND NOT starts_with(lower(word), 'ftp.') AND NOT starts_with(lower(word), 'mailto:')), {_bad_sql('asked', pack.ignore, pack.prohibit)},
+both_kinds AS (SELECT doc_id, o, n, rule_id, 0 AS src FROM kept UNION ALL SELECT doc_id, off, length(word), 'SPELLING_RULE', 1 FROM used WHERE word IN (SELECT word FROM bad))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o, n DESC, src) - 1 AS INTEGER) AS nth, CAST(o AS INTEGER) AS "offset", CAST(n AS INTEGER) AS length, rule_id FROM both_kinds"""
 
 
 def tag_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +289,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sent_segment, sent_stats_by_lang, token_scan, tokens_ws_before, case_shape, spell_vocab_dict, spell_misspelled, spell_suggest, suffix_decode, tag_cascade,
-        pattern_literal_bigram, antipattern_suppress, overlap_filter, rule_frequency, scope_rollup, context_window, check_merged, check_response, analysis_dump,
+        pattern_literal_bigram, antipattern_suppress, overlap_filter, rule_frequency, scope_rollup, context_window, check_merged, check_response, answer_order, analysis_dump,
         tag_dump, synth_forms, span_parity, rule_coverage, rule_examples,
     )
 }
@@ -304,5 +318,6 @@ SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s k WHERE k.doc_id = s.doc_id AN
     "tag_dump": _TAG_SQL.replace("SELECT * FROM direct UNION ALL SELECT * FROM title", """, tags AS (SELECT * FROM direct UNION ALL SELECT * FROM title)
 SELECT words.word, count(tags.lemma) > 0 AS tagged, coalesce(string_agg(lemma || '/' || pos, '|' ORDER BY lemma || '/' || pos), '') AS readings FROM words LEFT JOIN tags ON tags.word = words.word GROUP BY words.word"""),
     "synth_forms": _synth_sql(),
+    "answer_order": _answer_sql(),
     "span_parity": _PARITY_SQL,
 }

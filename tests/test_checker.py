@@ -1,19 +1,21 @@
+import json
 import random
+import re
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from proseworks.functions import text as T
-from proseworks.operators import spelling, synthesis
+from proseworks.operators import spelling, synthesis, tagging
 from proseworks.operators.analysis import Lexicon, analyze, disambiguate, tokenize
 from proseworks.operators.grammar import Finding, RuleIndex, check_sentence, findings_of, without_contained
 from proseworks.operators.matching import Position, match_at, scan
-from proseworks.plans import reports
-from proseworks.plans.engine import Engine, outermost
+from proseworks.plans import lines, reports
+from proseworks.plans.engine import Engine, ordered, outermost, response
 from proseworks.plans.ir import PatternSpec, TokenSpec
-from proseworks.sources.automaton import Automaton, FormatError, decode_suffix, parse_info
-from proseworks.sources.pack import builtin
+from proseworks.sources.automaton import Automaton, FormatError, decode_suffix, parse_info, read_dictionary
+from proseworks.sources.pack import builtin, read_overlay, read_words
 from proseworks.sources.rules import expand_entities, parse_disambiguation, parse_pattern
 from proseworks.sources.srx import java_to_regex
 
@@ -30,33 +32,112 @@ def apply(xml, s):
     return [p.readings for p in s[1:]]
 
 
-@pytest.mark.parametrize(
-    "xml, words, expected",
-    [
-        ('<rule><pattern><token>wo</token></pattern><disambig><wd lemma="will" pos="MD"/></disambig></rule>', [("wo", [])], [[("will", "MD")]]),
-        ('<rule><pattern><token>last</token></pattern><disambig postag="JJ"/></rule>', [("last", [("last", "NN"), ("late", "JJ")])], [[("late", "JJ")]]),
-        ('<rule><pattern><token regexp="yes">[0-9]+</token></pattern><disambig action="add"><wd pos="CD"/></disambig></rule>', [("7", [])], [[("7", "CD")]]),
-        ('<rule><pattern><token>an</token></pattern><disambig action="remove" postag="D.*"/></rule>', [("an", [("an", "DT")])], [[(None, None)]]),
-        ('<rule><pattern><token>run</token></pattern><disambig action="filter" postag="V.*"/></rule>', [("run", [("run", "NN"), ("run", "VB")])], [[("run", "VB")]]),
-        ('<rule><pattern><token postag="CD"/></pattern><disambig action="filterall"/></rule>', [("two", [("two", "JJ"), ("two", "CD")])], [[("two", "CD")]]),
-        ('<rule><antipattern><token>we</token><token>own</token></antipattern><pattern><token>own</token></pattern><disambig><wd pos="X"/></disambig></rule>', [("we", []), ("own", [("own", "JJ")])], [[(None, None)], [("own", "JJ")]]),
-        ('<rule><pattern><token>own<exception scope="previous">we</exception></token></pattern><disambig><wd pos="X"/></disambig></rule>', [("we", []), ("own", [])], [[(None, None)], [(None, None)]]),
-        ('<rule><pattern><and><token postag="A"/><token postag="B"/></and></pattern><disambig action="remove"><wd pos="B"/></disambig></rule>', [("x", [("x", "A"), ("x", "B")])], [[("x", "A")]]),
-    ],
-)
-def test_actions(xml, words, expected):
-    assert apply(xml, sentence(*words)) == expected
+def _expected(action, tag, words, p):
+    """What an action makes of the readings of one marked token, said once more from its definition."""
+    readings = p.readings
+    fits = lambda r: re.fullmatch(tag, r[1] or "") is not None and r[1] is not None
+    if action == "add":
+        return ([] if [t for _, t in readings] == [None] else readings) + [(w or p.token, t) for w, t in words]
+    if action == "remove":
+        out = [r for r in readings if not fits(r)] if tag else [r for r in readings if (r[0], r[1]) not in words]
+    elif action == "filter":
+        out = [r for r in readings if fits(r)] if tag else [r for r in readings if r in words]
+    elif tag:
+        out = [([m for m, t in readings if t == tag and m is not None] or [readings[0][0]])[-1:] + [tag]]
+        out = [tuple(out[0])]
+    else:
+        out = [(words[0][0] or p.token, words[0][1])]
+    return out or [(None, None)]
+
+
+def test_actions_agree_with_their_definitions():
+    r = random.Random(11)
+    for _ in range(400):
+        token = r.choice(("sol", "mar"))
+        own = [(r.choice(("sol", "luna")), r.choice(("N1", "N2", "V1"))) for _ in range(r.randint(0, 3))]
+        action, tag, words = r.choice(("replace", "add", "remove", "filter")), None, []
+        if r.random() < 0.5 and action != "add":
+            tag = r.choice(("N1", "V1") if action == "replace" else ("N.", "V1", "X"))
+        else:
+            words = [(r.choice(("sol", "luna")), r.choice(("N1", "V1")))]
+        attribute = f' postag="{tag}"' if tag else ""
+        inner = "".join(f'<wd lemma="{m}" pos="{t}"/>' for m, t in words)
+        s = sentence(("al", [("al", "P")]), (token, own), ("fin", []))
+        xml = f'<rule><pattern><token>al</token><marker><token>{token}</token></marker></pattern><disambig action="{action}"{attribute}>{inner}</disambig></rule>'
+        want = _expected(action, tag, words, s[2])
+        assert apply(xml, s) == [[("al", "P")], want, [(None, None)]]
+
+
+def test_actions_are_blocked_and_leave_others_alone():
+    mark = '<disambig action="add"><wd pos="Z"/></disambig>'
+    bare = lambda *w: sentence(*((x, []) for x in w))
+    hit = lambda out: [i for i, x in enumerate(out) if x != [(None, None)]]
+    after = f'<rule><antipattern><token>uno</token><token>due</token></antipattern><pattern><token>due</token></pattern>{mark}</rule>'
+    assert hit(apply(after, bare("due", "uno", "due", "due"))) == [0, 3]
+    around = f'<rule><pattern><token>due<exception scope="previous">uno</exception><exception scope="next">tre</exception></token></pattern>{mark}</rule>'
+    assert hit(apply(around, bare("due", "uno", "due", "due", "tre", "due"))) == [0, 5]
+    assert apply('<rule><pattern><token>due</token></pattern><disambig action="unify"/></rule>', bare("due")) == [[(None, None)]]
+    both = '<rule><pattern><and><token postag="A1"/><token postag="B1"/></and></pattern><disambig action="filterall"/></rule>'
+    assert apply(both, sentence(("w", [("w", "A1"), ("w", "B1")]))) == [[("w", "A1"), ("w", "B1")]]  # a group is no fixed token
+    own = '<rule><pattern><token postag="A1"/><token>w</token></pattern><disambig action="filterall"/></rule>'
+    assert apply(own, sentence(("v", [("v", "C1"), ("v", "A1")]), ("w", [("w", "C1")]))) == [[("v", "A1")], [("w", "C1")]]
 
 
 def test_tokens():
-    known = lambda w: w in ("n't", "'s")
-    assert tokenize("She can't go.", known) == ["She", " ", "ca", "n't", " ", "go", "."]
-    assert tokenize("well- off", known) == ["well", "-", " ", "off"]
-    assert tokenize("at http://a.bc/d?e=1, x@y.org!") == ["at", " ", "http://a.bc/d?e=1", ",", " ", "x@y.org", "!"]
+    known = lambda w: w in ("n't", "'ll")
+    assert tokenize("We mustn't, they'll.", known) == ["We", " ", "must", "n't", ",", " ", "they", "'ll", "."]
+    assert tokenize("-alpha beta-- gamma-delta") == ["-", "alpha", " ", "beta", "-", "-", " ", "gamma-delta"]
+    assert tokenize("see https://z.io/q?k=2, or me@host.net!") == ["see", " ", "https://z.io/q?k=2", ",", " ", "or", " ", "me@host.net", "!"]
     for t in ("", "a\u00a0b—c", "\U0001f600\ufe0f ok", "don’t", "--", "é́ a-b's"):
         assert "".join(tokenize(t)) == t
 
 
+def test_lines_and_answers(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("one\\ttwo\n\nthree\\nfour\n")
+    assert [r["text"] for r in lines.read_lines(spark, str(tmp_path / "in.txt")).orderBy("doc_id").collect()] == ["one\ttwo", "three\nfour"]
+    docs = spark.createDataFrame([(1, "It is the the house of catz now."), (2, None), (3, "x"), (4, "")], "doc_id long, text string")
+    dictionary = spark.createDataFrame([(w, 1) for w in "it is the house of cats now x".split()], "word string, freq int")
+    engine = Engine(builtin())
+    found = ordered(engine.check_all(docs, dictionary))
+    assert [(r["nth"], r["rule_id"], r["offset"]) for r in found.orderBy("nth").collect()] == [(0, "REPEATED_THE", 6), (1, spelling.RULE_ID, 23)]
+    assert [r["line"] for r in lines.finding_lines(found).orderBy("nth").collect()] == ["REPEATED_THE\t6\t7\tthe", f"{spelling.RULE_ID}\t23\t4\tcats"]
+    assert [r["line"] for r in lines.spelling_lines(found.where("category_id = 'TYPOS'")).collect()] == ["23\t4\tcats"]
+    answers = {r["doc_id"]: json.loads(r["json"]) for r in response(engine.check_all(docs, dictionary), docs, engine.sentences(docs)).collect()}
+    assert set(answers) == {1, 2, 3, 4} and answers[3]["matches"] == [] and [m["offset"] for m in answers[1]["matches"]] == [6, 23]
+    assert set(answers[2]["software"]) == {"name", "version", "apiVersion", "premium", "status"} and answers[2]["language"]["detectedLanguage"]["code"] == "en-US"
+    first = answers[1]["matches"][0]
+    assert first["sentence"] == "It is the the house of catz now." and first["replacements"] == [{"value": "the"}] and first["rule"]["issueType"] == "grammar"
+    tokens = F.array(F.lit("a"), F.lit("\t"), F.lit("b"))
+    assert lines.token_lines(docs.limit(1), tokens).first()["line"] == "WORDS|a\u241f\\t\u241fb\u241f"
+    assert [r["line"] for r in lines.sentence_lines(engine.sentences(docs.where("doc_id = 3"))).collect()] == ["SENT1|x"]
+    results = spark.createDataFrame([(2, 0, True, False), (1, 0, True, True), (1, 1, False, False)], "rule_ord int, example int, wrong boolean, passed boolean")
+    assert [tuple(r)[:2] for r in reports.failures(results, 1).collect()] == [(1, 1)]
+
+
+def test_dictionary_files(spark, tmp_path):
+    (tmp_path / "d.dict").write_bytes(_encode({b"cities+Dy+NNS", b"sheep+A+NN"}))
+    (tmp_path / "d.info").write_text("fsa.dict.encoder=SUFFIX\nfsa.dict.separator=+\n")
+    rows = read_dictionary(spark, str(tmp_path / "d.dict")).collect()
+    assert {(r["form"], r["stem"], r["tag"]) for r in rows} == {("cities", "city", "NNS"), ("sheep", "sheep", "NN")}
+    (tmp_path / "o.tsv").write_text("# c\nruns\trun\tVBZ\nbad\tline\n\tno\tX\n")
+    assert [tuple(r) for r in read_overlay(spark, str(tmp_path / "o.tsv")).collect()] == [("runs", "run", "VBZ")]
+    (tmp_path / "w.txt").write_text("# c\n alpha\tx\ntwo words\n\nbeta\nbeta\n")
+    assert {r["word"] for r in read_words(spark, str(tmp_path / "w.txt")).collect()} == {"alpha", "beta"}
+
+
+def test_tagging_agrees_with_the_lexicon(spark):
+    forms = [("run", "run", "VB"), ("Paris", "Paris", "NNP"), ("running", "run", "VBG"), ("don't", "do", "X"), ("THE", "the", "Y"), ("the", "the", "DT")]
+    lexicon = Lexicon({})
+    for f, lemma, tag in forms:
+        lexicon.forms.setdefault(f, []).append((lemma, tag))
+    words = ["run", "Run", "RUN", "PARIS", "paris", "runnin'", "RUNNIN'", "Runnin'", "don’t", "rUn", "THE", "The", "x", "’"]
+    got = tagging.readings(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(forms, "form string, lemma string, pos string"))
+    out = {}
+    for r in got.collect():
+        out.setdefault(r["word"], []).append((r["lemma"], r["pos"]))
+    assert {w: sorted(v) for w, v in out.items()} == {w: sorted(lexicon.readings(w)) for w in words if lexicon.readings(w)}
+
+
 def test_matcher_agrees_with_brute_force():
     r = random.Random(3)
 
