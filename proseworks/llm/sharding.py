@@ -10,19 +10,25 @@ are exchanged once.
 
 Defined cases: a null text counts 8 bytes like an empty one and hashes like one; null ids sort
 first; rows equal in text and id stay together, even past the tolerance; no rows give no shards.
+What reaches the driver is bounded: ``COUNTS`` counts a round and one count for each of at most ``PARTS`` partitions (or shards, if more).
 Columns of the input are kept, except those named like the columns added here, which are replaced.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseworks.llm.common import stored
 
-BITS = 12
-#: Rows that one exchange partition should get, at 8 bytes a row at least.
+#: Counts that one round sends to the driver, at most, however many rows or intervals there are.
+COUNTS = 1 << 16
+#: Rows that one exchange partition should get, at 8 bytes a row at least, as long as there are no more than ``PARTS`` partitions;
+#: beyond that a partition has more rows, which its sort spills.
 ROWS_PER_PART = 500_000
+PARTS = 1024
 _MIN, _MAX = -(1 << 63), (1 << 63) - 1
 
 
@@ -34,31 +40,43 @@ def _size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
+def _not_above(values: list[int], column: Column, base: int = 0) -> Column:
+    """How many of the sorted ``values`` are not above the column, by binary search in nested conditions."""
+    if not values:
+        return F.lit(base)
+    m = len(values) // 2
+    return F.when(column < F.lit(values[m]), _not_above(values[:m], column, base)).otherwise(_not_above(values[m + 1 :], column, base + m + 1))
+
+
 def _round(keys: DataFrame, column: str, intervals: list[tuple[int, int]]) -> dict[tuple, list[tuple[int, int, int]]]:
-    """For each interval (lo, hi) of ``column``: [(probe, bytes and rows from it to the next)]."""
+    """For each interval (lo, hi) of ``column``: [(probe, bytes and rows from it to the next)].
+
+    Intervals are equal or apart. At most ``COUNTS`` counts in all reach the driver.
+    """
     spans = sorted(set(intervals))
-    step = {s: _step(*s) for s in spans}
-    which, slot = F.lit(None).cast("int"), F.lit(None).cast("long")
-    for n, (lo, hi) in enumerate(spans):
-        inside = F.col(column).between(lo, hi - 1)
-        which = F.when(inside, n).otherwise(which)
-        slot = F.when(inside, F.expr(f"(cast({column} as decimal(20,0)) - ({lo})) div {step[(lo, hi)]}")).otherwise(slot)
+    probes = max(2, COUNTS // len(spans))
+    step = {s: _step(*s, probes) for s in spans}
+    number = lambda x: F.lit(Decimal(x)).cast("decimal(20,0)")
+    which = _not_above([lo for lo, _ in spans], F.col(column))
+    of = lambda values: F.get(F.array(*map(number, values)), F.col("w") - 1)
+    value = F.col(column).cast("decimal(20,0)")
     found = (
-        keys.select(which.alias("w"), slot.alias("b"), "size")
-        .where("w is not null")
+        keys.select(column, "size", which.alias("w"))
+        .where((F.col("w") > 0) & (value < of([hi for _, hi in spans])))
+        .select("w", "size", F.floor((value - of([lo for lo, _ in spans])) / of([step[s] for s in spans])).cast("long").alias("b"))
         .groupBy("w", "b")
         .agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-        .collect()  # at most 2^BITS rows an interval
+        .collect()
     )
     out: dict[tuple, list[tuple[int, int, int]]] = {s: [] for s in spans}
     for r in found:
-        s = spans[r["w"]]
+        s = spans[r["w"] - 1]
         out[s].append((s[0] + r["b"] * step[s], r["bytes"], r["rows"]))
     return {s: sorted(v) for s, v in out.items()}
 
 
-def _step(lo: int, hi: int) -> int:
-    return max(1, -(-(hi - lo) // (1 << BITS)))
+def _step(lo: int, hi: int, probes: int) -> int:
+    return max(1, -(-(hi - lo) // probes))
 
 
 def _refine(keys: DataFrame, column: str, low: int, high: int, targets: set, tolerance: float, heavy: float) -> tuple[dict, dict]:
@@ -70,10 +88,10 @@ def _refine(keys: DataFrame, column: str, low: int, high: int, targets: set, tol
     open_ = dict.fromkeys(targets, (low, high, 0))  # interval and the bytes below it
     met, stuck = {}, {}
     while open_:
-        counts = _round(keys, column, [x[:2] for x in open_.values()])
+        counts, probes = _round(keys, column, [x[:2] for x in open_.values()]), max(2, COUNTS // len({x[:2] for x in open_.values()}))
         following = {}
         for t, (lo, hi, below) in open_.items():
-            step = _step(lo, hi)
+            step = _step(lo, hi, probes)
             met[t] = hi
             for probe, size, rows in counts[(lo, hi)]:
                 if below + size < t - tolerance:
@@ -133,7 +151,7 @@ def assign_shards(
     columns = [_ordered_hash(F.col(text)).alias("hash"), F.coalesce(F.col(key).cast("long"), F.lit(_MIN)).alias("id"), _size(F.col(text)).alias("size")]
     keys = stored(docs.select(*columns), "shard-keys")
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    per = max(4, -(-rows // (ROWS_PER_PART * shards)))
+    per = max(1, min(max(4, -(-rows // (ROWS_PER_PART * shards))), PARTS // shards))
     bounds = splitters(keys, shards * per, total, tolerance * total / shards, heavy * total / shards) if rows else []
     part = _behind(bounds)
     counts = {r["part"]: r["count"] for r in keys.select(part.alias("part")).groupBy("part").count().collect()}

@@ -10,12 +10,12 @@ A file holds the documents of one range of ids, in ascending order of doc_id:
 A frame is the document's ids as little-endian unsigned 32-bit integers, compressed with the
 shared dictionary, so any short document is read by one seek and one small decompression. The
 dictionary is trained on the id arrays of a bounded sample (about ``sample`` rows,
-chosen by a hash of doc_id, at most ``SAMPLE_CHARS`` characters each) and stored beside the files as ``<sha256>.dict``; it affects only
+chosen by a hash of doc_id, their texts whole) and stored beside the files as ``<sha256>.dict``; it affects only
 their size. Writing a file is atomic (a name of its own, then a rename), so a task that is run
 again after an executor is lost leaves one good file named in the manifest.
 
 Ids come from a public tokenizer file. Its words never cross certain places in a text, so the units
-between these are encoded once and remembered (at most ``CACHE`` of them a worker).
+between these are encoded once and remembered (at most ``CACHE`` of them a worker, or those of one chunk of texts if these are more).
 
 Defined cases: a null or empty text has only the end id; rows with a null doc_id are stored first with
 the least long; repeated ids are all stored; no rows give no files.
@@ -42,7 +42,6 @@ from proseworks.session import ship
 
 MAGIC = b"PWTK0001"
 CACHE = 3_000_000
-SAMPLE_CHARS = 20_000
 DICT_BYTES = 65_536
 _NULL_ID = -(1 << 63)
 #: Classes of bytes: 0 white space, 1 letters, 2 digits, 3 other ASCII, 4 apostrophe, 5 beyond ASCII.
@@ -90,8 +89,6 @@ class Encoder:
         return out
 
     def _learn(self, keys: np.ndarray, units: list[str]) -> None:
-        if len(self.keys) + len(keys) > CACHE:
-            raise OverflowError
         plain = np.array([u.isalpha() and u.lower().isalpha() for u in units], bool)
         found: list[np.ndarray | None] = [None] * len(units)
         for which, encode in ((plain, self._letters), (~plain, self._whole)):
@@ -117,11 +114,12 @@ class Encoder:
         if len(new):
             text = textvec.LOWER[data].tobytes()
             pairs = zip(first[example[new]].tolist(), end[example[new]].tolist())
-            try:
-                self._learn(keys[new], [text[a:b].decode() for a, b in pairs])
-            except OverflowError:
+            if len(self.keys) + len(new) > CACHE:  # what is remembered goes; a chunk's own units are all learnt, however many
                 self._forget()
-                self._learn(keys, [text[a:b].decode() for a, b in zip(first[example].tolist(), end[example].tolist())])
+                pairs = zip(first[example].tolist(), end[example].tolist())
+                self._learn(keys, [text[a:b].decode() for a, b in pairs])
+            else:
+                self._learn(keys[new], [text[a:b].decode() for a, b in pairs])
             place = np.searchsorted(self.keys, keys)
         size, begin = self.size[place][inverse], self.start[place][inverse]
         after = np.cumsum(size)
@@ -173,9 +171,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, text: str, ke
     """A zstandard dictionary from the id arrays of a bounded sample; empty if there is too little to learn from."""
     share = min(1.0, sample / max(docs.count(), 1))
     lot = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 31)) < int(share * (1 << 31))
-    rows = docs.where(lot).select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("text")).collect()
+    rows = docs.where(lot).select(F.col(text).alias("text")).toArrow()
     encode = encoder(tokenizer, end_id)
-    arrays = [x.tobytes() for x in encode.many(pa.array(sorted(r["text"] or "" for r in rows), pa.large_string())) if len(x) >= 16]
+    arrays = [x.tobytes() for x in encode.many(pa.array(sorted(t or "" for t in rows.column("text").to_pylist()), pa.large_string())) if len(x) >= 16]
     if sum(map(len, arrays)) < 16 * DICT_BYTES // 4:
         return b""
     try:

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -8,7 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from proseworks.llm import decontam, embedding_dedup, near_dedup, packing, pii, quality, sharding, textvec, token_store, toxicity, url_filter
-from proseworks.llm.common import components
+from proseworks.llm import queries as llm_queries
+from proseworks.llm.common import components, contracted
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int"
 
@@ -160,7 +163,7 @@ def test_best_fit_agrees_with_brute_force():
 def test_pii(spark):
     texts = ["mail a.b@c.de, call +1 (988) 555-2485 or 10.0.0.255", "card 4111 1111 1111 1111 not 4111 1111 1111 1112", None, "", "1.2.3.400 +12 @ x@y", "9" * 20000 + "@"]
     rows = pii.spans(frame(spark, texts)).orderBy("doc_id").collect()
-    assert rows[0]["base"] == "email:5:13,ip:43:53,phone:20:37" or {x.split(":")[0] for x in rows[0]["base"].split(",")} == {"email", "ip", "phone"}
+    assert rows[0]["base"] == "email:5:13,ip:41:51,phone:20:37"
     assert rows[0]["redacted"] == "mail [EMAIL], call [PHONE] or [IP]" and rows[1]["base"].startswith("card:5:24")
     assert [r["base"] for r in rows[2:]] == ["", "", "", ""] and rows[2]["redacted"] is None
     fitted = pii.model()
@@ -273,3 +276,203 @@ def test_pipeline_on_a_small_fixture(spark, texts, tmp_path):
     _, group = _brute_near(texts, 5, 80)
     assert {r["doc_id"] for r in rows} <= {i for i, g in enumerate(group) if g == i}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "packing"]
+
+
+def _near_pairs(r):
+    """Texts that share a long passage, groups of near copies and texts apart."""
+    passage, base = prose(r, 60), prose(r, 90).split()
+    out = [f"{prose(r, r.randint(60, 110))} {passage} {prose(r, 8)}" for _ in range(60)]
+    for _ in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(len(w))] = prose(r, 1) + "x"
+        out.append(" ".join(w))
+    for t in out[:20]:
+        out.append(t + " " + prose(r, 1))
+    r.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("small, weight", [(8, 1 << 20), (8, 4096), (4096, 2048)])
+def test_near_duplicates_of_large_nodes_and_groups(spark, monkeypatch, small, weight):
+    texts = _near_pairs(random.Random(12))
+    for name, value in (("SMALL", small), ("WEIGHT", weight), ("BLOCK", 16), ("LEAST", 1)):
+        monkeypatch.setattr(near_dedup, name, value)
+    _, group = _brute_near(texts, 4, 80)
+    rows = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(frame(spark, texts), 4, 80).collect()}
+    assert [rows[i] for i in range(len(texts))] == group
+
+
+def test_shingles_of_the_same_words_in_other_orders_differ():
+    column = pa.array(["the and and the x and the the and y"])
+    (_, _, data, offsets), = textvec.chunks(column)
+    start, end, row = textvec.words(data, offsets)
+    h, _ = textvec.shingles(textvec.hashes(data, start, end), row, 1, 4)
+    assert len(set(h.tolist())) == 7
+
+
+def test_contracted_agrees_with_a_loop():
+    r = random.Random(13)
+    for _ in range(200):
+        n = r.randint(1, 30)
+        a, b = ([r.randrange(20) for _ in range(n)] for _ in range(2))
+        over = {x: x for x in (*a, *b)}
+        for _ in range(n):
+            for x, y in zip(a, b):
+                over[x] = over[y] = min(over[x], over[y])
+        for _ in range(n):
+            for x, y in zip(a, b):
+                over[x] = over[y] = min(over[x], over[y])
+        node, least = contracted(np.array(a), np.array(b))
+        assert dict(zip(node.tolist(), least.tolist())) == over
+
+
+def test_embeddings_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0, 0]), (1, [1.0, 0.01, 0]), (2, [1.0, 0, 0.01]), (3, [1.0, 0.01, 0.01]), (5, [0, 1.0, 0]), (5, [0, 1.0, 0]), (6, [0, 0, 1.0]), (6, [0, 1.0, 1.0]), (7, [0, 1.0, 1.02]), (8, [0.0, 0, 0]), (None, [1.0, 0, 0])]
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, item string")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.links(df).where("vec_id is not null").collect()))
+    assert got == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1), (5, 1, 5), (5, 1, 5), (6, 0, 6), (6, 1, 6), (7, 1, 6), (8, 0, 8)]
+
+
+def test_traversal_visits_every_cell_in_reach_nearest_first():
+    r = np.random.default_rng(3)
+    for _ in range(100):
+        a, b = r.random(r.integers(1, 9)), r.random(r.integers(1, 9))
+        a[r.integers(len(a))] = b[r.integers(len(b))] = 0
+        radius = r.random()
+        got = embedding_dedup.cells_of(a, b, radius)
+        assert set(got) == {(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] + b[j] <= radius}
+        sums = [a[i] + b[j] for i, j in got]
+        assert sums == sorted(sums)
+
+
+#: The strict patterns, fixed values.
+_STRICT = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _strict(text):
+    out = []
+    for kind, pattern in _STRICT.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda: 16 <= len(digits) <= 19 and pii.luhn(digits), "phone": lambda: 8 <= len(digits) <= 15}[kind]()
+            out += [(kind, m.start(), m.end())] * ok
+    return out
+
+
+def test_base_spans_agree_with_the_patterns():
+    r = random.Random(14)
+    for n in range(6000):
+        text = "".join(r.choice("0123456789" * 2 + "ab.@+-() é" if n % 2 else "4111 1-.+(a@") for _ in range(r.randint(0, 60)))
+        assert pii.base_spans(text) == _strict(text)
+    assert pii.base_spans("4111111111111111 x 4111 1111 1111 1111") == [("card", 0, 16), ("card", 19, 38)]
+
+
+def test_personal_data_in_long_texts_takes_linear_time():
+    fitted = pii.model()
+    took = []
+    for n in (2000, 16000):
+        text = " ".join(f"({200 + i % 700}) 555-{1000 + i % 9000} word" for i in range(n))
+        began = time.process_time()
+        assert len(pii.find(text, fitted)[1]) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.01)
+
+
+def test_secrets_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" commit 04dbebab91ab85687d33eeaaf9ac699e1188f962', "b", "s")], "doc_id long, text string, base string, spans string")
+    row = pii.redact(df).first()
+    assert row.asDict() == {"doc_id": 1, "text": 'token = "[SECRET]" commit 04dbebab91ab85687d33eeaaf9ac699e1188f962', "base": "b", "spans": "s"}
+    assert pii.spans(df).first()["secrets"] == "secret:9:49" and pii.spans(df).first()["spans"] == ""
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, tmp_path_factory):
+    """A folder with documents and labels: toxic ones by their words, bad ones by their lines."""
+    r = random.Random(15)
+    rows, labels = [], []
+    for i in range(1500):
+        text = ". \n".join(prose(r, 9).capitalize() for _ in range(4))
+        toxic, good = int(r.random() < 0.2), int(r.random() < 0.7)
+        if toxic:
+            w = text.split(" ")
+            for _ in range(4):
+                w.insert(r.randrange(len(w)), r.choice(("stupid", "moron", "worthless", "disgusting")))
+            text = " ".join(w)
+        if not good:
+            text += "\n" + "\n".join(" | ".join(prose(r, 1) for _ in range(12)) for _ in range(6))
+        rows.append((i, text, "en", f"s{i % 3}", len(text), 0.5, 7))
+        labels.append((i, good, toxic))
+    rows += [(5000, None, None, None, None, None, None), (5001, "", "en", "s", 0, 0.1, 1), (None, "stupid", "en", "s", 6, 0.1, 1)]
+    folder = tmp_path_factory.mktemp("labelled")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(labels + [(None, 1, 1), (5001, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    return str(folder), {i: (good, toxic) for i, good, toxic in labels}
+
+
+@pytest.mark.parametrize("name, which, cut", [("op2_line_crf_quality", 0, 0.3), ("op10_compression_toxicity", 1, 0.5)])
+def test_classifiers_through_spark(spark, labelled, name, which, cut):
+    folder, truth = labelled
+    rows = llm_queries.QUERIES[name](spark, folder).collect()
+    assert len(rows) == 1503
+    for x in rows:
+        assert x["held_out"] == (x["doc_id"] is not None and zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0)
+        assert 0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= cut)
+    held = [x for x in rows if x["held_out"] and x["doc_id"] in truth]
+    assert len(held) > 200 and np.mean([x["predicted"] == truth[x["doc_id"]][which] for x in held]) > 0.97
+
+
+def test_scores_keep_columns_that_clash(spark):
+    df = frame(spark, ["a b", None, ""])
+    for module in (quality, toxicity):
+        out = module.score(df, module.train([], {0: 3, 1: 1}))
+        assert out.columns == [*(c for c in df.columns if c != "score"), "score"] and [x["score"] for x in out.collect()] == [0.25] * 3
+
+
+def test_sharding_query(spark, tmp_path, texts):
+    frame(spark, [*texts, "é" * 50]).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = llm_queries.QUERIES["op1_histogram_sort"](spark, str(tmp_path)).collect()
+    of = {i: t or "" for i, t in enumerate([*texts, "é" * 50])}
+    assert len(rows) == len(of) and {x["law"] for x in rows} == {"bytes"} and all(x["grown_shard"] is None for x in rows)
+    shards, copies = {}, {}
+    for x in rows:
+        assert x["size"] == len(of[x["doc_id"]].encode()) + 8 and x["text_crc32"] == zlib.crc32(of[x["doc_id"]].encode()) and 0 <= x["shard"] < 24
+        shards.setdefault(x["shard"], []).append(x["slot"])
+        copies.setdefault(of[x["doc_id"]], set()).add(x["shard"])
+    assert all(sorted(s) == list(range(len(s))) for s in shards.values()) and all(len(s) == 1 for s in copies.values())
+
+
+def test_a_round_sends_a_bounded_number_of_counts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COUNTS", 64)
+    monkeypatch.setattr(sharding, "PARTS", 12)
+    rows = sharding.assign_shards(frame(spark, [f"text {i}" for i in range(2000)]), 6).groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.max("slot").alias("m")).collect()
+    assert len(rows) == 6 and max(r["s"] for r in rows) < 1.03 * sum(r["s"] for r in rows) / 6 and all(r["m"] + 1 == r["n"] for r in rows)
+
+
+def test_tokens_of_more_units_than_are_remembered(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(token_store, "CACHE", 20)
+    r = random.Random(16)
+    own = [prose(r, 200), prose(r, 3), prose(r, 100)]
+    tokenizer, encode = Tokenizer.from_file(path), token_store.Encoder(path, 1)
+    for t in own:
+        (ids,) = encode.many(pa.array([t]))
+        assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1]
+
+
+def test_empty_tables(spark, tmp_path):
+    none = frame(spark, [])
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    for name, query in llm_queries.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
