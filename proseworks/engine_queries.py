@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseworks.functions import text as T
+from proseworks.operators import analysis
 from proseworks.plans import lines, reports
 from proseworks.plans.engine import Engine
 from proseworks.sources.pack import builtin, from_texts
 
-#: Characters of words with both apostrophes, fixed values in the notation that Java and RE2 share.
-WORD = r"±§©@€£¥$\p{L}\d\-\x{0300}-\x{036F}\x{00A8}°%‰‱&\x{FFFD}\x{00AD}\x{00AC}\x{FF0C}\x{FF1F}'’"
+#: Characters of words with both apostrophes.
+WORD = f"{analysis.WORD}'’"
 #: An e-mail address as one token, fixed value.
 _MAIL = r"[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@(?:[a-zA-Z\-0-9]+\.)+[a-zA-Z]{2,}"
 #: Signs of words right behind an address belong to a token that begins inside it, which is none: fixed value.
@@ -263,11 +264,30 @@ def visible_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5("line").alias("line_md5"), F.length(lines.unescaped(F.col("line"))).cast("long").alias("n"))
 
 
+def case_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The case conversions of templates on every distinct token."""
+    w = F.col("word")
+    words = Engine(builtin()).tokens(_docs(spark, sf_dir)).select("word").distinct()
+    kinds = ("startlower", "startupper", "alllower", "allupper")
+    return words.select("word", *[T.convert_case(k, w, w).alias(k) for k in kinds], T.convert_case("preserve", w, F.lit("oNe")).alias("preserve"), T.capitalize_like(w, F.lit("one")).alias("like"))
+
+
+_CASES_SQL = f"""WITH {_sql(_BREAKS)}, w AS (SELECT DISTINCT word FROM num)
+SELECT word, lower(substr(word, 1, 1)) || substr(word, 2) AS startlower, upper(replace(substr(word, 1, 1), 'ß', 'SS')) || substr(word, 2) AS startupper, lower(word) AS alllower, upper(replace(word, 'ß', 'SS')) AS allupper,
+ CASE WHEN regexp_matches(word, '\\p{{L}}') AND NOT regexp_matches(word, '[^\\P{{L}}\\p{{Lu}}]') THEN 'ONE' WHEN regexp_matches(word, '^\\p{{Lu}}') THEN 'ONe' ELSE 'oNe' END AS preserve,
+ CASE WHEN regexp_matches(word, '^\\p{{Lu}}') THEN 'One' ELSE 'one' END AS like FROM w"""
+
+
+def collapsed_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.collapse_spaces(F.col("text"))).alias("md5"))
+
+
 QUERIES = {
     "engine_sentences": engine_sentences, "engine_tokens": engine_tokens, "grammar_check": grammar_check, "scope_report": scope_report, "finding_lines": finding_lines,
     "pattern_optional": _pattern(_OPTIONAL), "pattern_skip": _pattern(_SKIP), "pattern_exception_prev_next": _pattern(_EXCEPT), "pattern_group_and_or": _pattern(_GROUPS), "pattern_negate_case": _pattern(_NEGATE),
     "pattern_antipattern": _pattern(_ANTI), "pattern_tags": _pattern(_TAGS, _FORMS), "nonoverlap_scan": nonoverlap_scan, "template_backref": template_backref,
     **{f"disambig_{a}": _act(a) for a in _ACTS}, "contraction_split": contraction_split, "dictionary_lookup": dictionary_lookup, "rule_tiers": rule_tiers, "languages": languages, "visible_lines": visible_lines,
+    "case_conversions": case_conversions, "collapsed_spaces": collapsed_spaces,
 }
 
 _PAIR_SQL = f"""WITH {_sql()}, c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent ORDER BY k) AS g FROM num WHERE regexp_matches(word, '^[a-zA-Z]+$') AND regexp_matches(w1, '^[a-zA-Z]+$')), t AS (SELECT * FROM c QUALIFY {_ALTERNATE})
@@ -300,5 +320,7 @@ ORACLE = {
     "disambig_filterall": _act_sql("WHEN low = 'in' AND n1 = 'the' AND base IS NOT NULL THEN 'in/IN' WHEN low = 'to' AND n1 IN ('the', 'of') AND base IS NOT NULL THEN 'to/IN'"),
     "contraction_split": _SPLIT_SQL, "dictionary_lookup": _lookup_sql(), "rule_tiers": _TIERS_SQL,
     "languages": "SELECT * FROM (VALUES ('English', 'en', 'en'), ('English (US)', 'en', 'en-US')) t(name, code, \"longCode\")",
+    "case_conversions": _CASES_SQL,
+    "collapsed_spaces": r"SELECT doc_id, md5(regexp_replace(text, '[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS md5 FROM documents",
     "visible_lines": "SELECT doc_id, md5(replace(replace(text, chr(10), '\\n'), chr(9), '\\t')) AS line_md5, CAST(length(text) AS BIGINT) AS n FROM documents",
 }

@@ -13,7 +13,7 @@ import regex
 
 from proseworks.operators.matching import END_TAG, START_TAG, Position, covered, keeps, match_at, pos_fits
 from proseworks.plans.ir import DisambigRule, Reading
-from proseworks.sources.srx import BreakRule
+from proseworks.sources.srx import BreakRule, for_python
 
 # ---- sentences ----
 
@@ -43,8 +43,9 @@ class Segmenter:
 
 # ---- tokens ----
 
-#: Characters of words (besides apostrophes), fixed values in the notation of character classes.
-WORD_CLASS = r"±§©@€£¥\$\p{L}\d\-̀-ͯ¨°%‰‱&�­¬，？"
+#: Characters of words (besides apostrophes), fixed values in the notation of character classes that Java and RE2 share.
+WORD = r"±§©@€£¥$\p{L}\d\-\x{0300}-\x{036F}\x{00A8}°%‰‱&\x{FFFD}\x{00AD}\x{00AC}\x{FF0C}\x{FF1F}"
+WORD_CLASS = for_python(WORD)
 #: Contractions, fixed values: each group of the first pattern that matches a whole word becomes tokens.
 CONTRACTIONS = tuple(
     regex.compile(p, regex.I)

@@ -60,6 +60,11 @@ def lookup_lines(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return found.select("word", F.when(F.col("stem").isNull(), F.concat("word", F.lit("\t<none>"))).otherwise(F.concat_ws("\t", "word", "stem", "tag")).alias("line"))
 
 
+def sequence_lines(sequences: DataFrame) -> DataFrame:
+    """line: the byte strings (seq) of an automaton in hexadecimal digits."""
+    return sequences.select(F.lower(F.hex("seq")).alias("line"))
+
+
 def languages(spark: SparkSession) -> DataFrame:
     """name, code, longCode of the languages that can be asked for."""
     return spark.createDataFrame([(name, code.partition("-")[0], code) for code, name in sorted(LANGUAGES.items())], "name string, code string, longCode string")

@@ -201,13 +201,25 @@ _REP = f"""{_NUM}, rep AS (SELECT a.lang, lower(a.word) AS rule_id, count(*) AS
 
 
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir).withColumn("offset", F.instr("text", " the ")).where("offset > 0")
-    c = T.context(F.col("text"), F.col("offset"), F.lit(3))
-    return rows.select("doc_id", c["text"].alias("context"), c["offset"].alias("ctx_offset"), T.issue_type(F.upper("source")).alias("issue_type"))
+    """Every " the " of a text with what stands around it."""
+    part = _docs(spark, sf_dir).select("doc_id", "source", "text", F.posexplode(F.split("text", " the ", -1)).alias("k", "part"))
+    order = Window.partitionBy("doc_id").orderBy("k")
+    rows = part.withColumn("offset", (F.sum(F.length("part")).over(order) + 5 * F.col("k")).cast("int")).withColumn("last", F.lead("k").over(order).isNull()).where("not last")
+    c = T.context(F.col("text"), F.col("offset") + 1, F.lit(3))
+    return rows.select("doc_id", "offset", c["text"].alias("context"), c["offset"].alias("ctx_offset"), T.issue_type(F.upper("source")).alias("issue_type"))
 
 
-_CONTEXT_SQL = """SELECT doc_id, CASE WHEN o > 20 THEN '...' ELSE '' END || substr(text, greatest(o - 20, 0) + 1, least(o + 23, length(text)) - greatest(o - 20, 0)) || CASE WHEN o + 23 < length(text) THEN '...' ELSE '' END AS context,
- CAST(CASE WHEN o > 20 THEN 23 ELSE o END AS INTEGER) AS ctx_offset, 'uncategorized' AS issue_type FROM (SELECT doc_id, text, strpos(text, ' the ') AS o FROM documents) WHERE o > 0"""
+_CONTEXT_SQL = """WITH p AS (SELECT doc_id, text, unnest(string_split(text, ' the ')) AS part, unnest(range(len(string_split(text, ' the ')))) AS k FROM documents),
+r AS (SELECT doc_id, text, CAST(sum(length(part)) OVER w + 5 * k AS INTEGER) AS "offset", lead(k) OVER w IS NULL AS last FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+o AS (SELECT doc_id, text, "offset", "offset" + 1 AS o FROM r WHERE NOT last)
+SELECT doc_id, "offset", CASE WHEN o > 20 THEN '...' ELSE '' END || substr(text, greatest(o - 20, 0) + 1, least(o + 23, length(text)) - greatest(o - 20, 0)) || CASE WHEN o + 23 < length(text) THEN '...' ELSE '' END AS context,
+ CAST(CASE WHEN o > 20 THEN 23 ELSE o END AS INTEGER) AS ctx_offset, 'uncategorized' AS issue_type FROM o"""
+
+
+def spell_suggest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions for every misspelled word of the corpus from its whole dictionary; too many pairs for SQL, a test compares with generated edits."""
+    words = spell_misspelled(spark, sf_dir).select("word")
+    return spelling.suggestions(words, spell_vocab_dict(spark, sf_dir)).select("word", F.array_join("suggestions", "|").alias("suggestions"))
 
 
 def check_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +300,7 @@ def analysis_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sent_segment, sent_stats_by_lang, token_scan, tokens_ws_before, case_shape, spell_vocab_dict, spell_misspelled, spell_suggest, suffix_decode, tag_cascade,
+        sent_segment, sent_stats_by_lang, token_scan, tokens_ws_before, case_shape, spell_vocab_dict, spell_misspelled, spell_suggest, spell_suggest_all, suffix_decode, tag_cascade,
         pattern_literal_bigram, antipattern_suppress, overlap_filter, rule_frequency, scope_rollup, context_window, check_merged, check_response, answer_order, analysis_dump,
         tag_dump, synth_forms, span_parity, rule_coverage, rule_examples,
     )

@@ -101,7 +101,32 @@ def from_dir(folder: str, language: str = "en-US") -> Pack:
     return from_texts(texts, language)
 
 
-_VERBS = {"be": "is are was were been being", "have": "has had having", "go": "goes went gone going", "make": "makes made making"}
+#: The automaton dictionary of a pack folder, with its ``.info`` beside it; its entries join those of the lexicon.
+DICTIONARY = "lexicon.dict"
+#: Entries that a pack may hold: it is broadcast (about 100 bytes each).
+MOST_FORMS = 3_000_000
+
+
+def read_pack(spark: SparkSession, folder: str, language: str = "en-US") -> Pack:
+    """A pack from a folder in any store that Spark reads; files that are missing count as empty."""
+    from proseworks.sources.automaton import read_dictionary
+
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(file: str) -> bool:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{file}")
+        return path.getFileSystem(conf).exists(path)
+
+    texts = {name: spark.read.text(f"{folder}/{file}", wholetext=True).first()[0] for name, file in FILES.items() if there(file)}
+    pack = from_texts(texts, language)
+    if there(DICTIONARY):
+        found = read_dictionary(spark, f"{folder}/{DICTIONARY}").where("stem is not null").select("form", "stem", "tag")
+        if found.count() > MOST_FORMS:
+            raise ValueError(f"{folder}/{DICTIONARY} has more than {MOST_FORMS} entries")
+        pack.forms = [tuple(r) for r in found.collect()] + pack.forms
+    return pack
+
+
 _FORMS = """the the DT|a a DT|an an DT|this this DT|that that DT|that that IN|of of IN|to to TO|to to IN|in in IN|on on IN|for for IN|with with IN|by by IN|as as IN|at at IN|from from IN
 and and CC|or or CC|it it PRP|he he PRP|they they PRP|we we PRP|I I PRP|is be VBZ|are be VBP|was be VBD|were be VBD|be be VB|has have VBZ|have have VB|have have VBP|had have VBD|go go VB|goes go VBZ|went go VBD
 cat cat NN|cats cat NNS|dog dog NN|dogs dog NNS|house house NN|house house VB|apple apple NN|old old JJ|big big JJ|very very RB|not not RB|n't not RB|can can MD|can can NN|do do VB|do do VBP|what what WP|which which WDT"""

@@ -23,7 +23,8 @@ def java_to_regex(pattern: str) -> str:
     return re.sub(r"(\\\\)|\\u([0-9A-Fa-f]{4})", lambda m: m[1] or rf"\x{{{m[2]}}}", pattern)
 
 
-def _for_python(pattern: str) -> str:
+def for_python(pattern: str) -> str:
+    r"""``\x{XXXX}`` as ``\uXXXX``."""
     return re.sub(r"(\\\\)|\\x\{([0-9A-Fa-f]{1,4})\}", lambda m: m[1] or rf"\u{m[2]:0>4}", pattern)
 
 
@@ -36,7 +37,7 @@ def parse(xml: str, language: str) -> list[BreakRule]:
         if _local(node) == "languagerule":
             rules = []
             for rule in node:
-                sides = {_local(s): _for_python(s.text or "") for s in rule}
+                sides = {_local(s): for_python(s.text or "") for s in rule}
                 rules.append(BreakRule(rule.get("break") != "no", sides.get("beforebreak", ""), sides.get("afterbreak", "")))
             sets.setdefault(node.get("languagerulename") or "", rules)
     out: list[BreakRule] = []

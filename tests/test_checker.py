@@ -14,8 +14,8 @@ from proseworks.operators.matching import Position, match_at, scan
 from proseworks.plans import lines, reports
 from proseworks.plans.engine import Engine, ordered, outermost, response
 from proseworks.plans.ir import PatternSpec, TokenSpec
-from proseworks.sources.automaton import Automaton, FormatError, decode_suffix, parse_info, read_dictionary
-from proseworks.sources.pack import builtin, read_overlay, read_words
+from proseworks.sources.automaton import Automaton, FormatError, decode_suffix, parse_info, read_dictionary, read_sequences
+from proseworks.sources.pack import TEXTS, builtin, from_dir, read_overlay, read_pack, read_words
 from proseworks.sources.rules import expand_entities, parse_disambiguation, parse_pattern
 from proseworks.sources.srx import java_to_regex
 
@@ -119,12 +119,24 @@ def test_dictionary_files(spark, tmp_path):
     (tmp_path / "d.info").write_text("fsa.dict.encoder=SUFFIX\nfsa.dict.separator=+\n")
     rows = read_dictionary(spark, str(tmp_path / "d.dict")).collect()
     assert {(r["form"], r["stem"], r["tag"]) for r in rows} == {("cities", "city", "NNS"), ("sheep", "sheep", "NN")}
+    assert {r["line"] for r in lines.sequence_lines(read_sequences(spark, str(tmp_path / "d.dict"))).collect()} == {b"cities+Dy+NNS".hex(), b"sheep+A+NN".hex()}
     (tmp_path / "o.tsv").write_text("# c\nruns\trun\tVBZ\nbad\tline\n\tno\tX\n")
     assert [tuple(r) for r in read_overlay(spark, str(tmp_path / "o.tsv")).collect()] == [("runs", "run", "VBZ")]
     (tmp_path / "w.txt").write_text("# c\n alpha\tx\ntwo words\n\nbeta\nbeta\n")
     assert {r["word"] for r in read_words(spark, str(tmp_path / "w.txt")).collect()} == {"alpha", "beta"}
 
 
+def test_pack_of_a_folder(spark, tmp_path):
+    (tmp_path / "grammar.xml").write_text(TEXTS["grammar"])
+    (tmp_path / "lexicon.tsv").write_text("cats\tcat\tNNS\n")
+    (tmp_path / "lexicon.dict").write_bytes(_encode({b"cities+Dy+NNS"}))
+    (tmp_path / "lexicon.info").write_text("fsa.dict.encoder=SUFFIX\n")
+    pack = read_pack(spark, str(tmp_path))
+    assert pack.forms == [("cities", "city", "NNS"), ("cats", "cat", "NNS")] and pack.grammar == from_dir(str(tmp_path)).grammar == builtin().grammar and not pack.breaks
+    docs = spark.createDataFrame([(1, "The cities is near.")], "doc_id long, text string")
+    assert [r["rule_id"] for r in Engine(pack).check(docs).collect()] == ["PLURAL_IS"]
+
+
 def test_tagging_agrees_with_the_lexicon(spark):
     forms = [("run", "run", "VB"), ("Paris", "Paris", "NNP"), ("running", "run", "VBG"), ("don't", "do", "X"), ("THE", "the", "Y"), ("the", "the", "DT")]
     lexicon = Lexicon({})
