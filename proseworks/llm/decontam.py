@@ -1,6 +1,7 @@
 """Training documents that hold test items, exact, edited or paraphrased.
 
-1. Every run of ``size`` words of an item is a seed, however rare or common it is: an edited copy may keep any of them.
+1. Every run of ``size`` words of an item is a seed, however rare or common it is: an edited copy may keep any of them. So is every
+   run of ``size - 1`` words that is rare, in at most ``RARE`` items: a copy with every third word replaced keeps no longer run.
 2. A document's passages that share at least ``hits`` seeds with an item are aligned with the item by Smith-Waterman over words (match 2, mismatch -1, gap -1), unless
    they hold too few of its words to reach the score. Seeds whose implied starts differ by no more words than the gaps of
    a passage of sufficient score can have are aligned together, over all words that such a passage can reach.
@@ -30,6 +31,8 @@ from proseworks.llm.common import stored, without_ids
 from proseworks.session import ship
 
 SIZE = 3
+#: Items that a shorter run may stand in to be a seed.
+RARE = 3
 BLOCK_BYTES = 16 << 20
 #: So many words in a row are a copy, whatever part of the item they are.
 ENOUGH = 50
@@ -76,23 +79,39 @@ class Items:
         self.words: list[np.ndarray] = []
         runs, item, place = [], [], []
         for n, (_, text) in enumerate(rows):
-            (*_, h, _), = _words(pa.array([text or ""]), size)
+            (*_, h, both), = _words(pa.array([text or ""]), size)
             self.words.append(h)
-            r = _runs(h, np.zeros(len(h), np.int64), size)[: max(0, len(h) - size + 1)]
-            runs.append(r), item.append(np.full(len(r), n)), place.append(np.arange(len(r)))
+            for r, length in zip(both, (size, size - 1)):
+                r = r[: len(h) - length + 1] if len(h) >= size else r[:0]
+                runs.append(r), item.append(np.full(len(r), n)), place.append(np.arange(len(r)))
+        rare = np.concatenate([np.full(len(r), n % 2 == 1) for n, r in enumerate(runs)]) if runs else np.zeros(0, bool)
         runs, item, place = (np.concatenate(x) if x else np.zeros(0) for x in (runs, item, place))
+        short, of = np.unique(np.column_stack([runs[rare].astype(np.uint64), item[rare].astype(np.uint64)]), axis=0).T if rare.any() else (np.zeros(0, np.uint64),) * 2
+        short, of = np.unique(short, return_counts=True)
+        keep = ~rare | ~np.isin(runs, short[of > RARE])
+        runs, item, place = runs[keep], item[keep], place[keep]
         order = np.argsort(runs, kind="stable")
         self.item, self.place = item[order].astype(np.int64), place[order].astype(np.int64)
         self.runs, self.first, self.count = np.unique(runs[order].astype(np.uint64), return_index=True, return_counts=True)
         self.filter = np.zeros(1 << _BITS, bool)
         self.filter[(self.runs >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
+    def rows(self, runs: np.ndarray, row: np.ndarray, hits: int) -> np.ndarray:
+        """The texts of a chunk that share enough seeds with any item."""
+        at, k = self.find(runs)
+        spread = np.repeat(np.arange(len(at)), self.count[k])
+        nth = np.arange(len(spread)) - np.repeat(np.cumsum(self.count[k]) - self.count[k], self.count[k])
+        pair, count = np.unique(row[at[spread]] * max(len(self.words), 1) + self.item[self.first[k][spread] + nth], return_counts=True)
+        fewest = np.array([min(hits, max(len(w) - self.size + 1, 1)) for w in self.words], np.int64)
+        return np.unique(pair[count >= fewest[pair % len(fewest)]] // len(fewest)) if len(pair) else pair
+
     def find(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index in ``runs``, index of the run here) of those that items have."""
+        """(word, index of the run here) of those that items have; ``runs`` has a row for each length of runs."""
+        n, runs = runs.shape[1], runs.ravel()
         at = np.flatnonzero(self.filter[(runs >> np.uint64(64 - _BITS)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.runs, runs[at]), max(len(self.runs) - 1, 0))
         ok = self.runs[k] == runs[at] if len(self.runs) else np.zeros(0, bool)
-        return at[ok], k[ok]
+        return at[ok] % max(n, 1), k[ok]
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -173,7 +192,7 @@ def _words(column: pa.Array, size: int) -> Iterator[tuple]:
     for i, j, data, offsets in textvec.chunks(column):
         start, end, row = textvec.words(data, offsets, textvec.ALNUM)
         h = textvec.hashes(*_lowered(data, start, end))
-        yield i, j, offsets, start, end, row, h, _runs(h, row, size)
+        yield i, j, offsets, start, end, row, h, np.stack([_runs(h, row, size), _runs(h, row, size - 1)])
 
 
 def _block(slim: DataFrame, items: Items, hits: int, least: float) -> DataFrame:
@@ -185,10 +204,9 @@ def _block(slim: DataFrame, items: Items, hits: int, least: float) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for i, j, offsets, start, end, row, h, runs in _words(batch.column(1), items.size):
-                touched = np.unique(row[items.find(runs)[0]])
-                for r in touched:
+                for r in items.rows(runs, row, hits):
                     a, b = np.searchsorted(row, [r, r + 1])
-                    for n, score, seeds, first, after in _matches(items, h[a:b], runs[a:b], hits, least):
+                    for n, score, seeds, first, after in _matches(items, h[a:b], runs[:, a:b], hits, least):
                         values = batch.column(0)[i + int(r)].as_py(), items.ids[n], score, seeds, int(start[a + first] - offsets[r]), int(end[a + after - 1] - offsets[r])
                         for column, value in zip(out, values):
                             column.append(value)

@@ -254,6 +254,23 @@ def test_decontamination_finds_long_insertions_and_excerpts(spark):
         assert round(x["score"] * 2 * len(item)) == _brute_score(item, out[x["doc_id"]])
 
 
+def test_decontamination_finds_what_full_alignment_finds(spark):
+    r = random.Random(17)
+    items = [[f"w{r.randrange(400)}" for _ in range(r.randint(20, 45))] for _ in range(30)]
+    docs = []
+    for n, item in enumerate(items):
+        third = [w if k % 3 else f"x{k}" for k, w in enumerate(item)]
+        some = list(item)
+        for _ in range(len(item) // 3):
+            k = r.randrange(len(some))
+            some[k : k + 1] = r.choice(([], ["y"], [some[k], "y"]))
+        docs += [prose(r, 20).split() + third + prose(r, 20).split(), prose(r, 20).split() + some + prose(r, 20).split()]
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    rows = decontam.contaminated(frame(spark, [" ".join(d) for d in docs]), table).collect()
+    want = {(d, n) for d, words in enumerate(docs) for n, item in enumerate(items) if _brute_score(item, words) >= len(item)}
+    assert {(x["doc_id"], x["item_id"]) for x in rows} == want and len(want) > 40
+
+
 def test_removal_is_by_row(spark):
     r = random.Random(10)
     a, b, c, item = (prose(r, 40) for _ in range(4))
