@@ -2,7 +2,7 @@
 
 One dictionary is trained on ordinary texts, one on toxic texts (of these, the words that
 recur there and that ordinary texts of the sample lack: trained on whole toxic texts and asked for windows of several words it
-finds two fifths of the toxic documents, see README). A window is one word between fixed marks that both
+finds half of the toxic documents, see README). A window is one word between fixed marks that both
 dictionaries end with, so that only the word itself makes a difference. Its compressed length
 with either dictionary, together with the word's length, is its cell; how much oftener
 toxic than ordinary documents have a window in a cell, counted on the half of the
