@@ -339,6 +339,23 @@ def test_engine_offsets_nulls_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
 
 
+def test_stream_with_spelling(spark, tmp_path):
+    from proseworks.streaming.checks import start_all
+
+    dictionary = spark.createDataFrame([("the", 5), ("cats", 4), ("is", 4), ("old", 2), ("now", 2)], "word string, freq int")
+    parts = [[(1, "The cats is oldd now."), (2, None)], [(3, "Now the the cats."), (4, "nwo old")], []]
+    for rows in parts:
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    engine, names = Engine(builtin()), ["doc_id", "offset", "length", "rule_id", "replacements"]
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        start_all(engine, stream, dictionary, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(found.select(names).collect()) == sorted(engine.check_all(docs, dictionary).select(names).collect())
+    assert {"SPELLING_RULE", "REPEATED_THE"} <= {r["rule_id"] for r in found.collect()} and found.select("batch").distinct().count() > 1
+
+
 def test_lexicon_stages():
     lexicon = Lexicon({"run": [("run", "VB")], "Paris": [("Paris", "NNP")], "running": [("run", "VBG")]})
     assert lexicon.readings("Run") == [("run", "VB")] and lexicon.readings("PARIS") == [("Paris", "NNP")] and lexicon.readings("runnin'") == [("run", "VBG")] and not lexicon.knows("rUn")
