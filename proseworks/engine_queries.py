@@ -78,9 +78,10 @@ SELECT doc_id, sent_id, CAST(coalesce(sum(length(s)) OVER (PARTITION BY doc_id O
 
 def engine_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of each sentence that are not white space, their places and how many follow a space."""
-    own = Engine(builtin()).tokens(_docs(spark, sf_dir))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "word"))), lambda x: F.concat(x["offset"].cast("string"), F.lit(" "), x["word"])), "\n")
-    return own.groupBy("doc_id", "sent_id").agg(F.count("*").alias("tokens"), F.count_if("space_before").alias("after_space"), F.md5(joined).alias("md5"), F.max(F.when(F.col("is_end"), F.col("offset"))).alias("last"))
+    own = Engine(builtin()).token_lists(_docs(spark, sf_dir))
+    joined = F.array_join(F.zip_with("offsets", "words", lambda o, w: F.concat(o.cast("string"), F.lit(" "), w)), "\n")
+    spaced = F.size(F.filter("after_space", lambda x: x)).cast("long")
+    return own.select("doc_id", "sent_id", F.size("words").cast("long").alias("tokens"), spaced.alias("after_space"), F.md5(joined).alias("md5"), F.element_at("offsets", -1).alias("last"))
 
 
 _TOKENS_SQL = f"""WITH {_sql(_BREAKS)} SELECT doc_id, sent AS sent_id, count(*) AS tokens, count(*) FILTER (spaced) AS after_space, md5(string_agg(off || ' ' || word, chr(10) ORDER BY off)) AS md5, max(off) AS last FROM num GROUP BY 1, 2"""
@@ -228,7 +229,7 @@ SELECT doc_id, CASE WHEN regexp_matches(lower(w), '^(is|should|do|ca|must)n''t$'
 def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the built-in lexicon has each distinct word of the corpus, and its entries, as lines."""
     pack = builtin()
-    words = Engine(pack).tokens(_docs(spark, sf_dir)).select("word").distinct()
+    words = Engine(pack).words(_docs(spark, sf_dir)).select("word").distinct()
     forms = spark.createDataFrame([f for f in pack.forms if f not in set(pack.removed)], "form string, stem string, tag string")
     return lines.contains_lines(words, forms).select("line").unionAll(lines.lookup_lines(words, forms).select("line"))
 
@@ -267,7 +268,7 @@ def visible_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def case_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The case conversions of templates on every distinct token."""
     w = F.col("word")
-    words = Engine(builtin()).tokens(_docs(spark, sf_dir)).select("word").distinct()
+    words = Engine(builtin()).words(_docs(spark, sf_dir)).select("word").distinct()
     kinds = ("startlower", "startupper", "alllower", "allupper")
     return words.select("word", *[T.convert_case(k, w, w).alias(k) for k in kinds], T.convert_case("preserve", w, F.lit("oNe")).alias("preserve"), T.capitalize_like(w, F.lit("one")).alias("like"))
 

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from proseworks.functions import text as T
 from proseworks.operators import spelling, synthesis, tagging
 from proseworks.operators.analysis import Lexicon, analyze, disambiguate, tokenize
+from proseworks.operators.batch import Batch, Vocabulary
 from proseworks.operators.grammar import Finding, RuleIndex, check_sentence, findings_of, without_contained
 from proseworks.operators.matching import Position, match_at, scan
 from proseworks.plans import lines, reports
 from proseworks.plans.engine import Engine, ordered, outermost, response
 from proseworks.plans.ir import PatternSpec, TokenSpec
 from proseworks.sources.automaton import Automaton, FormatError, decode_suffix, parse_info, read_dictionary, read_sequences
-from proseworks.sources.pack import TEXTS, builtin, from_dir, read_overlay, read_pack, read_words
+from proseworks.sources.pack import TEXTS, builtin, from_dir, from_texts, read_overlay, read_pack, read_words
 from proseworks.sources.rules import expand_entities, parse_disambiguation, parse_pattern
 from proseworks.sources.srx import java_to_regex
 
@@ -378,3 +379,50 @@ def test_texts_without_tokens_have_no_scan(spark, tmp_path):
     rows = [(1, "a b", "en", "s"), (2, "", "en", "s"), (3, None, "en", "s"), (4, " \n", "en", "s"), (5, "a\vb", "en", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert len(_agrees(spark, tmp_path, "token_scan")) == 3
+
+
+def test_batches_agree_with_single_sentences():
+    """Random rules of all features on random texts: a batch gives what each sentence by itself gives, and looks at few positions."""
+    r = random.Random(5)
+    forms = "".join(f"{w}\t{m}\t{t}\n" for w, m, t in (("al", "al", "P"), ("sol", "sol", "N"), ("sol", "luna", "V"), ("mar", "mar", "N"), ("al", "sol", "V")))
+
+    def token():
+        text = r.choice(("al", "sol", "mar", "", "s.*|al"))
+        own = [f'{k}="{v}"' for k, v, p in (("min", r.choice("012"), 0.2), ("max", r.choice(("1", "2", "-1")), 0.2), ("skip", r.choice(("1", "-1")), 0.2), ("negate", "yes", 0.1), ("inflected", "yes", 0.2), ("postag", r.choice(("N", "V", "UNKNOWN", "SENT_END")), 0.3), ("negate_pos", "yes", 0.1), ("spacebefore", r.choice(("yes", "no")), 0.1)) if r.random() < p]
+        own += ['regexp="yes"'] if "*" in text else []
+        inner = f'<exception scope="{r.choice(("previous", "current", "next"))}">{r.choice(("al", "mar"))}</exception>' if r.random() < 0.3 else ""
+        return f'<token {" ".join(own)}>{text}{inner}</token>'
+
+    some = lambda n: "".join(token() for _ in range(r.randint(1, n)))
+    grouped = lambda: f"<{(g := r.choice(('and', 'or')))}>{some(2)}</{g}>" if r.random() < 0.2 else ""
+    anti = lambda: f"<antipattern>{some(2)}</antipattern>" if r.random() < 0.3 else ""
+    looked = places = 0
+    for _ in range(60):
+        grammar = "".join(f"<rule id=\"G{k}\">{anti()}<pattern>{grouped()}{some(2)}<marker>{some(2)}</marker></pattern><message>m \\1</message><suggestion>{r.choice(('x', chr(92) + '1'))}</suggestion></rule>" for k in range(4))
+        rules = "".join(f'<rule>{anti()}<pattern><marker>{token()}</marker>{some(2)}</pattern><disambig action="{r.choice(("add", "replace", "filterall"))}"><wd lemma="al" pos="N"/></disambig></rule>' for _ in range(3))
+        pack = from_texts({"grammar": f'<rules><category id="C">{grammar}</category></rules>', "disambiguation": f"<rules>{rules}</rules>", "forms": forms, "breaks": TEXTS["breaks"]})
+        texts = ["".join(r.choice(("al", "sol", "mar", "Sol", "x-y")) + r.choice((" ", " ", ", ", ". ", "\n")) for _ in range(r.randint(0, 12))) for _ in range(8)]
+        batch = Batch(pack.segmenter(), Vocabulary(pack.lexicon()), texts)
+        batch.disambiguate(pack.disambiguation)
+        own = [r for r in pack.grammar if r.runs()]
+        got = [(f[0], f[1], -f[2], f[5], f[6], f[7].id, f[4]) for f in batch.findings(own, None)]
+        looked, places = looked + len(batch._made), places + len(batch)
+        dump, want, k = batch.dumped(), [], 0
+        for text in texts:
+            base = 0
+            for raw in pack.segmenter().sentences(text):
+                s = disambiguate(analyze(raw, pack.lexicon()), pack.disambiguation)
+                want += [(k, f.offset, f.length, f.message, f.replacements, f.rule_id, f.nth) for f in without_contained([f for x in own for f in findings_of(x, s, base)])]
+                assert [batch.position(int(batch.first[k]) + j) for j in range(len(s))] == s
+                assert dump[batch.first[k] : batch.first[k] + len(s)] == [f"TOK|{p.token}|" + "#".join(f"{a or '∅'}/{b or '∅'}" for a, b in p.readings) for p in s]
+                base, k = base + len(raw), k + 1
+        assert got == want
+    assert looked < places
+
+
+def test_engine_work_is_bounded_by_matches():
+    """A long text without matches has no position made (each was, before)."""
+    pack = builtin()
+    batch = Batch(pack.segmenter(), Vocabulary(pack.lexicon()), ["lorem ipsum dolor sit amet " * 2000])
+    batch.disambiguate(pack.disambiguation)
+    assert batch.findings([r for r in pack.grammar if r.runs()], None) == [] and not batch._made and len(batch) == 10001
