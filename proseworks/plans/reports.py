@@ -91,22 +91,28 @@ def classified(fired: DataFrame, defined: DataFrame) -> DataFrame:
     return out.withColumn("kind", F.when(F.col("__own"), "xml").otherwise("java")).withColumn("tier", F.when(F.col("__own"), "xml").otherwise(by_id)).drop("__own")
 
 
+#: Parts into which a rule's findings are dealt; each keeps its first few, so that no task holds all of a frequent rule.
+PARTS = 1024
+
+
 def scope(findings: DataFrame, docs: DataFrame, samples: int = 2) -> DataFrame:
     """lang, rule_id, category_id, hits, message, samples: of each rule that fired in a language its first message and first few texts.
 
-    First is by doc_id, then offset. Each task keeps ``samples`` texts of a rule, so nothing is collected that grows with its hits.
+    First is by doc_id, then offset. The findings are asked for once; only the texts of samples are moved.
     """
-    text = docs.select("doc_id", "lang", F.col("text").alias("__text"))
-    rows = findings.join(text, "doc_id").withColumn("sample", F.substring(F.col("__text"), F.col("offset") + 1, F.col("length")))
-    place = F.struct("doc_id", "offset", F.col("length"), "match_ord")
-    once = rows.select("lang", "rule_id", "category_id", "message", place.alias("place"), "sample")
-    of_doc = once.groupBy("lang", "rule_id", F.col("place.doc_id").alias("d")).agg(
-        F.count("*").alias("n"), F.first("category_id").alias("category_id"), F.slice(F.array_sort(F.collect_list(F.struct("place", "message", "sample"))), 1, samples).alias("some")
-    )  # a document's findings of one rule are bounded by its length
-    rank = F.row_number().over(Window.partitionBy("lang", "rule_id").orderBy("d"))
-    total = of_doc.groupBy("lang", "rule_id").agg(F.sum("n").alias("hits"), F.first("category_id").alias("category_id"))
-    first = of_doc.withColumn("k", rank).where(F.col("k") <= samples).groupBy("lang", "rule_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, samples).alias("some"))
-    return total.join(first, ["lang", "rule_id"]).select("lang", "rule_id", "category_id", "hits", F.col("some")[0]["message"].alias("message"), F.transform("some", lambda x: x["sample"]).alias("samples"))
+    rows = findings.join(docs.select("doc_id", "lang"), "doc_id")
+    part = [F.col("lang"), F.col("rule_id"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part")]
+    place = F.struct("doc_id", "offset", "length", "match_ord", "message").alias("place")
+    rank = Window.partitionBy("lang", "rule_id", "part").orderBy("place")
+    ranked = rows.select(*part, "category_id", place).withColumn("k", F.row_number().over(rank))
+    of_part = ranked.groupBy("lang", "rule_id", "part").agg(F.count("*").alias("n"), F.first("category_id").alias("category_id"), F.collect_list(F.when(F.col("k") <= samples, F.col("place"))).alias("some"))
+    total = of_part.groupBy("lang", "rule_id").agg(F.sum("n").alias("hits"), F.first("category_id").alias("category_id"), F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, samples).alias("some"))
+    chosen = total.select("lang", "rule_id", "hits", "category_id", F.col("some")[0]["message"].alias("message"), F.explode("some").alias("place"))
+    text = docs.select("doc_id", F.col("text").alias("__text"))
+    shown = text.join(F.broadcast(chosen.withColumn("doc_id", F.col("place.doc_id"))), "doc_id").select(
+        "lang", "rule_id", "category_id", "hits", "message", F.struct("place", F.substring("__text", F.col("place.offset") + 1, F.col("place.length")).alias("sample")).alias("x")
+    )
+    return shown.groupBy("lang", "rule_id", "category_id", "hits", "message").agg(F.transform(F.slice(F.array_sort(F.collect_list("x")), 1, samples), lambda x: x["sample"]).alias("samples"))
 
 
 def failures(results: DataFrame, most: int = 25) -> DataFrame:

@@ -426,3 +426,20 @@ def test_engine_work_is_bounded_by_matches():
     batch = Batch(pack.segmenter(), Vocabulary(pack.lexicon()), ["lorem ipsum dolor sit amet " * 2000])
     batch.disambiguate(pack.disambiguation)
     assert batch.findings([r for r in pack.grammar if r.runs()], None) == [] and not batch._made and len(batch) == 10001
+
+
+_ROWS = [(1, "In the the house of a apple.", None, "s"), (2, "In the the house. The cats is old , now.", "en", "s"), (3, "The the", "en", "s"), (4, "A apple is the the house", None, "s"), (5, None, "en", "s"), (6, "", None, "s")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_scope_asks_once_and_keeps_texts_without_language(spark, tmp_path):
+    spark.createDataFrame(_ROWS, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    from proseworks.engine_queries import scope_report
+
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert _plan(scope_report(spark, str(tmp_path))).count("mapinarrow") == 1
+    own = {(r["lang"], r["rule_id"]): (r["hits"], r["samples"]) for r in reports.scope(Engine(builtin()).check(docs), docs).collect()}
+    assert own[None, "REPEATED_THE"] == (2, ["the the", "the the"]) and own["en", "REPEATED_THE"] == (2, ["the the", "The the"])
