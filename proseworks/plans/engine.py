@@ -63,7 +63,7 @@ def _state(shared) -> _Built:
     return _built[id(pack)]
 
 
-def _spread(docs: DataFrame) -> DataFrame:
+def spread(docs: DataFrame) -> DataFrame:
     """A table of few, large row groups is dealt out, since checking a text costs far more than moving it."""
     if docs.isStreaming:
         return docs
@@ -113,7 +113,7 @@ class Engine:
             if ids:
                 yield made(built, ids, texts)
 
-        return _spread(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, schema)
+        return spread(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, schema)
 
     def check(self, docs: DataFrame, text: str = "text", key: str = "doc_id", picky: bool = False) -> DataFrame:
         """Grammar findings, those inside a larger one of the same sentence left out; null texts have none."""

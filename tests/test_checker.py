@@ -428,7 +428,7 @@ def test_engine_work_is_bounded_by_matches():
     assert batch.findings([r for r in pack.grammar if r.runs()], None) == [] and not batch._made and len(batch) == 10001
 
 
-_ROWS = [(1, "In the the house of a apple.", None, "s"), (2, "In the the house. The cats is old , now.", "en", "s"), (3, "The the", "en", "s"), (4, "A apple is the the house", None, "s"), (5, None, "en", "s"), (6, "", None, "s")]
+_ROWS = [(1, "In the the house of a apple.", None, "s"), (2, "In the the house. The cats are old , now.", "en", "s"), (3, "The the", "en", "s"), (4, "A apple is the the house", None, "s"), (5, None, "en", "s"), (6, "", None, "s")]
 
 
 def _plan(df):
@@ -443,3 +443,12 @@ def test_scope_asks_once_and_keeps_texts_without_language(spark, tmp_path):
     assert _plan(scope_report(spark, str(tmp_path))).count("mapinarrow") == 1
     own = {(r["lang"], r["rule_id"]): (r["hits"], r["samples"]) for r in reports.scope(Engine(builtin()).check(docs), docs).collect()}
     assert own[None, "REPEATED_THE"] == (2, ["the the", "the the"]) and own["en", "REPEATED_THE"] == (2, ["the the", "The the"])
+
+
+def test_order_of_answers_asks_for_no_suggestions(spark, tmp_path):
+    rows = _ROWS + [(i, "old house now thing", "en", "s") for i in range(10, 35)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    import __spark_entry__ as entry
+
+    assert "levenshtein" not in _plan(entry.queries()["answer_order"](spark, str(tmp_path)))
+    assert len(_agrees(spark, tmp_path, "answer_order")) > 5
