@@ -452,3 +452,47 @@ def test_order_of_answers_asks_for_no_suggestions(spark, tmp_path):
 
     assert "levenshtein" not in _plan(entry.queries()["answer_order"](spark, str(tmp_path)))
     assert len(_agrees(spark, tmp_path, "answer_order")) > 5
+
+
+def test_nearest_agrees_with_all_pairs(monkeypatch):
+    """In parts of a few words, a few keys and pairs at a time, with characters that only some words may be given."""
+    import numpy as np
+    import pyarrow as pa
+
+    from proseworks.operators import nearest
+
+    r = random.Random(5)
+    make = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    known = list(dict.fromkeys(make("abcdéñ$A", r.randint(0, 7)) for _ in range(250)))
+    asked = list(dict.fromkeys([make("abcdéB", r.randint(0, 8)) for _ in range(60)] + known[:20]))
+    reach = {k: _edits(k, "abcdéñ$AB") for k in known}
+    expected = []
+    for w in asked:
+        allowed = [k for k in known if k != w and all("a" <= c <= "z" or c in w or w[:1] == "B" and c == "A" for c in k)]
+        one = _edits(w, "abcdéñ$AB")
+        hits = [k for k in allowed if w in reach[k]] or [k for k in allowed if one & (reach[k] | {k})]
+        expected.append(hits[:8])
+    capital = np.array([w[:1] == "B" for w in asked])
+    for parts, keys, pairs in (({1: 70, 2: 40}, 5000, 30), (nearest.PARTS, nearest.KEYS, nearest.PAIRS)):
+        for name, value in (("PARTS", parts), ("KEYS", keys), ("PAIRS", pairs)):
+            monkeypatch.setattr(nearest, name, value)
+        own, word = nearest.Nearest(pa.array(known)).of(asked, capital, 8)
+        assert [[known[k] for k in word[own == i]] for i in range(len(asked))] == expected
+
+
+def test_suggestions_have_no_keys_of_short_words(spark):
+    """Each word became a row for each string that two deletions leave of it, and all that share one were compared."""
+    words = spark.createDataFrame([("abcdefgh",), ("abcdefghijklmnopqrstuv",)], "word string")
+    found = spelling.suggestions(words, spark.createDataFrame([("abcdefgx", 1), ("abcdefghijklmnopqrstuw", 1)], "word string, freq int"))
+    assert sorted(map(tuple, found.collect())) == [("abcdefgh", ["abcdefgx"]), ("abcdefghijklmnopqrstuv", ["abcdefghijklmnopqrstuw"])]
+    assert _plan(found).count("mapinarrow") == 1
+    pairs = spelling._pairs(words, spark.createDataFrame([("abcdefgx", 1)], "word string, freq int"))
+    assert "length" in _plan(pairs) and pairs.where("suggestion = 'abcdefgx'").count() == 0
+
+
+def test_words_are_looked_for_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a b", "en"), (2, "", "en"), (3, None, "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    from proseworks.queries import _words
+
+    words = _words(spark, str(tmp_path))
+    assert _plan(words).count("regexp_extract_all") == 1 and [r["word"] for r in words.collect()] == ["a", " ", "b"]
