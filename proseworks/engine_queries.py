@@ -197,8 +197,7 @@ _ACTS = {
 
 def _act(action: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        dump = _grammar(forms=_FORMS, disambiguation=_ACTS[action]).dump(_docs(spark, sf_dir))
-        return dump.where("startswith(text, 'TOK|') and text <> 'TOK||∅/SENT_START'").groupBy("text").agg(F.count("*").alias("n"))
+        return _grammar(forms=_FORMS, disambiguation=_ACTS[action]).tally(_docs(spark, sf_dir)).where("text <> 'TOK||∅/SENT_START'")
 
     return query
 
@@ -229,7 +228,7 @@ SELECT doc_id, CASE WHEN regexp_matches(lower(w), '^(is|should|do|ca|must)n''t$'
 def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the built-in lexicon has each distinct word of the corpus, and its entries, as lines."""
     pack = builtin()
-    words = Engine(pack).words(_docs(spark, sf_dir)).select("word").distinct()
+    words = Engine(pack).distinct_words(_docs(spark, sf_dir))
     forms = spark.createDataFrame([f for f in pack.forms if f not in set(pack.removed)], "form string, stem string, tag string")
     return lines.contains_lines(words, forms).select("line").unionAll(lines.lookup_lines(words, forms).select("line"))
 
@@ -268,7 +267,7 @@ def visible_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def case_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The case conversions of templates on every distinct token."""
     w = F.col("word")
-    words = Engine(builtin()).words(_docs(spark, sf_dir)).select("word").distinct()
+    words = Engine(builtin()).distinct_words(_docs(spark, sf_dir))
     kinds = ("startlower", "startupper", "alllower", "allupper")
     return words.select("word", *[T.convert_case(k, w, w).alias(k) for k in kinds], T.convert_case("preserve", w, F.lit("oNe")).alias("preserve"), T.capitalize_like(w, F.lit("one")).alias("like"))
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proseworks.functions import text as T
+from proseworks.operators import batch as batch_module
 from proseworks.operators import spelling, synthesis, tagging
 from proseworks.operators.analysis import Lexicon, analyze, disambiguate, tokenize
 from proseworks.operators.batch import Batch, Vocabulary
@@ -428,6 +429,36 @@ def test_engine_work_is_bounded_by_matches():
     assert batch.findings([r for r in pack.grammar if r.runs()], None) == [] and not batch._made and len(batch) == 10001
 
 
+def test_texts_are_cut_by_distinct_runs(monkeypatch):
+    """Tokens of many sentences at once are those of ``tokenize``, which is asked only where signs join runs (it was for each sentence, before)."""
+    lexicon, r = builtin().lexicon(), random.Random(3)
+    signs = [*"ab'’-- @/.w:?\n\té\u0301\u0663\u00a0\u2003İ_\ufffdΩ\ufe0f😀\x1c", "www", "https://", "n't", "can't", "a@b.io"]
+    for _ in range(400):
+        texts = ["".join(r.choice(signs) for _ in range(r.randint(1, 25))) for _ in range(r.randint(0, 4))]
+        vocabulary = Vocabulary(lexicon)
+        assert [vocabulary.words[n] for n in batch_module._cut(texts, vocabulary)] == [t for x in texts for t in ["", *tokenize(x, lexicon.knows)]]
+    asked = []
+    monkeypatch.setattr(batch_module, "tokenize", lambda *args: asked.append(args[0]) or tokenize(*args))
+    vocabulary = Vocabulary(lexicon)
+    batch_module._cut(["Don't go-go, señor. "] * 50 + ["see z.io/q."], vocabulary)
+    assert asked == ["see z.io/q."]
+
+
+def test_findings_and_tallies_come_in_columns(spark):
+    """Many findings of a rule with a fixed text share it, and lines of readings are counted in the worker; both were rows, before."""
+    pack = from_texts({"grammar": '<rules><category id="C"><rule id="P"><pattern><token regexp="yes">[a-z]+</token><token regexp="yes">[a-z]+</token></pattern><message>m</message></rule></category></rules>'})
+    batch = Batch(pack.segmenter(), Vocabulary(pack.lexicon()), ["a b c d e. " * 500, "Ab cd"])
+    columns, said = batch.found(pack.grammar, None)
+    assert len(said) == 2 and all(len(c) == 1001 for c in columns) and columns[1][:3].tolist() == [0, 4, 11]
+    assert [x[1] for x in batch.findings(pack.grammar, None)] == columns[1].tolist()
+    engine = Engine(builtin())
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(["The cat's the house .", "the\tthe TOK|x", "", None, "The cat's the house ."])], "doc_id long, text string")
+    want = engine.dump(docs).where("startswith(text, 'TOK|')").groupBy("text").count()
+    assert sorted(map(tuple, engine.tally(docs).collect())) == sorted(map(tuple, want.collect()))
+    assert {r.word for r in engine.distinct_words(docs).collect()} == {r.word for r in engine.words(docs).collect()}
+    assert "mapinarrow" in _plan(engine.tally(docs)) and "doc_id" not in _plan(engine.tally(docs)).split("mapinarrow")[0]
+
+
 _ROWS = [(1, "In the the house of a apple.", None, "s"), (2, "In the the house. The cats are old , now.", "en", "s"), (3, "The the", "en", "s"), (4, "A apple is the the house", None, "s"), (5, None, "en", "s"), (6, "", None, "s")]
 
 
