@@ -230,7 +230,7 @@ def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pack = builtin()
     words = Engine(pack).distinct_words(_docs(spark, sf_dir))
     forms = spark.createDataFrame([f for f in pack.forms if f not in set(pack.removed)], "form string, stem string, tag string")
-    return lines.contains_lines(words, forms).select("line").unionAll(lines.lookup_lines(words, forms).select("line"))
+    return lines.dictionary_lines(words, forms).select("line")
 
 
 def _lookup_sql() -> str:

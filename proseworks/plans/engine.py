@@ -163,7 +163,7 @@ class Engine:
             own = np.flatnonzero(~batch.opens)
             of = batch.sentence[own]
             first = (np.cumsum(batch.size - 1) - (batch.size - 1))[some]
-            lists = [_lists(pa.array(c, k), first, len(own)) for c, k in ((batch.base[of] + batch.start[own], pa.int32()), (batch.strings(own), pa.string()), (batch.spaced[own], pa.bool_()))]
+            lists = [_lists(c if isinstance(c, pa.Array) else pa.array(c, k), first, len(own)) for c, k in ((batch.base[of] + batch.start[own], pa.int32()), (batch.strings(own), pa.string()), (batch.spaced[own], pa.bool_()))]
             return [(ids, batch.owner[some]), batch.number[some], *lists]
 
         return self._per_text(docs, text, key, _TOKEN_LISTS, columns)

@@ -60,6 +60,17 @@ def lookup_lines(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return found.select("word", F.when(F.col("stem").isNull(), F.concat("word", F.lit("\t<none>"))).otherwise(F.concat_ws("\t", "word", "stem", "tag")).alias("line"))
 
 
+def dictionary_lines(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """word, line: the lines of ``contains_lines`` and of ``lookup_lines`` for words that are distinct already, which are asked for once."""
+    entry = F.struct("stem", "tag")
+    own = dictionary.groupBy(F.col("form").alias("word")).agg(F.collect_list(entry).alias("entries"))
+    found = words.join(own, "word", "left")
+    known = F.concat_ws("\t", "word", F.when(F.col("entries").isNotNull(), "true").otherwise("false"))
+    none = F.concat("word", F.lit("\t<none>"))
+    entries = F.transform("entries", lambda e: F.when(e["stem"].isNull(), none).otherwise(F.concat_ws("\t", F.col("word"), e["stem"], e["tag"])))
+    return found.select("word", F.explode(F.concat(F.array(known), F.coalesce(entries, F.array(none)))).alias("line"))
+
+
 def sequence_lines(sequences: DataFrame) -> DataFrame:
     """line: the byte strings (seq) of an automaton in hexadecimal digits."""
     return sequences.select(F.lower(F.hex("seq")).alias("line"))

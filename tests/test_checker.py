@@ -459,6 +459,18 @@ def test_findings_and_tallies_come_in_columns(spark):
     assert "mapinarrow" in _plan(engine.tally(docs)) and "doc_id" not in _plan(engine.tally(docs)).split("mapinarrow")[0]
 
 
+def test_dictionary_asks_for_words_once(spark, tmp_path):
+    """The plan of the look-ups holds the engine once (twice, before); lines are those of the two look-ups."""
+    from proseworks.engine_queries import dictionary_lookup
+
+    spark.createDataFrame([(1, "the the of zzz")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert _plan(dictionary_lookup(spark, str(tmp_path))).count("mapinarrow") == 1
+    words = spark.createDataFrame([("a",), ("b",), ("c",)], "word string")
+    entries = spark.createDataFrame([("a", "a", "X"), ("a", "a", "X"), ("a", "o", None), ("b", None, "Y"), ("z", "z", "Z")], "form string, stem string, tag string")
+    want = lines.contains_lines(words, entries).unionAll(lines.lookup_lines(words, entries))
+    assert sorted(map(tuple, lines.dictionary_lines(words, entries).collect())) == sorted(map(tuple, want.collect()))
+
+
 _ROWS = [(1, "In the the house of a apple.", None, "s"), (2, "In the the house. The cats are old , now.", "en", "s"), (3, "The the", "en", "s"), (4, "A apple is the the house", None, "s"), (5, None, "en", "s"), (6, "", None, "s")]
 
 
