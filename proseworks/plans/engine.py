@@ -49,8 +49,8 @@ class _Built:
 
     def rules(self, picky: bool) -> list[GrammarRule]:
         """The rules that run and whose words, if they need any, have been met."""
-        met = self.vocabulary.by_low
-        return [r for r in self.pack.grammar if r.runs(picky) and (any(t.inflected for t in r.pattern.tokens) or (words := anchor(r)) is None or any(w in met for w in words))]
+        met = self.vocabulary.alike
+        return [r for r in self.pack.grammar if r.runs(picky) and (any(t.inflected for t in r.pattern.tokens) or (words := anchor(r)) is None or any(map(met, words)))]
 
 
 _built: dict[int, _Built] = {}
@@ -207,7 +207,7 @@ class Engine:
             at = np.arange(len(batch)) + batch.sentence + 1  # a sentence's own line stands before its positions
             line[at] = which
             line[at[batch.first] - 1] = len(own) + np.arange(len(batch.raw))
-            texts = pa.array(own + [f"SENT|{shown(raw)}" for raw in batch.raw], pa.string()).take(pa.array(line))
+            texts = pa.concat_arrays([own, pa.array([f"SENT|{shown(raw)}" for raw in batch.raw], pa.string())]).take(pa.array(line))
             owner = np.repeat(batch.owner, batch.size + 1)
             opens = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)
             begins = np.flatnonzero(opens)

@@ -539,3 +539,61 @@ def test_words_are_looked_for_once(spark, tmp_path):
 
     words = _words(spark, str(tmp_path))
     assert _plan(words).count("regexp_extract_all") == 1 and [r["word"] for r in words.collect()] == ["a", " ", "b"]
+
+
+def test_words_are_asked_only_where_they_can_fit(monkeypatch):
+    """Each new word of a batch was asked for readings, lower-cased, shown and tried with patterns that its length rules out."""
+    from proseworks.operators import matching
+
+    assert [c for c in map(chr, range(0x110000)) if len(c.lower()) != 1] == [batch_module.LONGER]
+    lexicon = Lexicon({"to": [("to", "TO")], "running": [("run", "VBG")], "été": [("été", "N")]})
+    words = [f"word{i}" for i in range(500)] + ["TO", "To", "runnin'", "ÉTÉ", "İs", "i̇s", "I", "K", "\u212a", "ΟΔΟΣ", "οδος", "οδοσ", "\n", "a\tb", "\x1c", "\xa0", "to", "word3"]
+    asked = []
+    monkeypatch.setattr(lexicon, "may_have", lambda w, f=lexicon.may_have: asked.append(w) or f(w))
+    v = Vocabulary(lexicon)
+    numbers = v.number(words)
+    assert [v.words[n] for n in numbers] == words and len(set(v.words)) == len(v.words)
+    assert v.length.tolist() == list(map(len, v.words)) and [v.words[n] for n in range(len(v.words)) if v.space[n]] == ["\n", "\xa0"]
+    kinds = v.kind_table()
+    assert not {w for w in asked if w.startswith("word")}
+    assert [v.kinds[kinds[n]] for n in numbers] == [tuple(lexicon.readings(w)) for w in words]
+    for low in ["", "to", "i̇s", "i", "k", "οδος", "οδοσ", "İs", "none"] + [w.lower() for w in words]:
+        assert sorted(v.alike(low)) == [n for n, w in enumerate(v.words) if w.lower() == low]
+    v.number(["tO", "İS"])
+    assert [v.words[n] for n in v.alike("to")] == ["TO", "To", "to", "tO"] and [v.words[n] for n in v.alike("i̇s")] == ["i̇s", "İs", "İS"]
+    tried = []
+
+    class Seen:
+        def __init__(self, text):
+            self.own = matching.compiled(text, False)
+
+        def fullmatch(self, w):
+            tried.append(w)
+            return self.own.fullmatch(w)
+
+    monkeypatch.setattr(batch_module, "compiled", lambda text, sensitive: Seen(text))
+    for text in ("to|is|the", "K|οδος|weiß", "t.*"):
+        tried.clear()
+        spec = TokenSpec(text=text, regexp=True)
+        assert v.text_table(spec).tolist() == [matching.compiled(text, False).fullmatch(w) is not None for w in v.words]
+        assert (len(tried) < 20) == (text != "t.*")
+    assert v.shown_words() == [w.replace("\n", "\\n").replace("\t", "\\t") for w in v.words]
+
+
+def test_only_sentences_with_signs_of_addresses_are_searched(monkeypatch):
+    pack = builtin()
+    plain = ["One two wwhat.\n"] * 50
+    texts = ["".join(plain) + "See www.a.org now.\nMail a@b.org ☺\ufe0f.\nOr http://a.org/b.\n" + "".join(plain), "ww", "w. W"]
+    searched = []
+
+    class Signs:
+        @staticmethod
+        def search(s, own=batch_module.JOINED):
+            searched.append(s)
+            return own.search(s)
+
+    monkeypatch.setattr(batch_module, "JOINED", Signs)
+    batch = Batch(pack.segmenter(), Vocabulary(pack.lexicon()), texts)
+    assert len(searched) == 4  # one more for the sign that only two texts together have
+    want = [t for s in batch.raw for t in ["", *(t for t in tokenize(s, pack.lexicon().knows) if not t.isspace())]]
+    assert [batch.vocabulary.words[w] for w in batch.word] == want
